@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,3 +63,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
             to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
+
+
+def bounded_broadcast(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """A broadcast hint only where a count proves that df is small; otherwise the join shuffles. For tables that are cheap to count."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

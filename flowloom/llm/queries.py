@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from flowloom.llm.html_text import op8_html_extraction
+from flowloom.llm.mixing import op10_mixing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op8_html_extraction": op8_html_extraction,
+        "op10_mixing": op10_mixing,
     }
 
 
