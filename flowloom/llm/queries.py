@@ -10,10 +10,12 @@ from flowloom.llm.html_text import op8_html_extraction
 from flowloom.llm.mixing import op10_mixing
 from flowloom.llm.simhash import op3_simhash_dedup
 from flowloom.llm.suffix_dedup import op6_suffix_dedup
+from flowloom.llm.toxicity import op2_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_toxicity": op2_toxicity,
         "op3_simhash_dedup": op3_simhash_dedup,
         "op6_suffix_dedup": op6_suffix_dedup,
         "op8_html_extraction": op8_html_extraction,
