@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from flowloom.llm.html_text import op8_html_extraction
 from flowloom.llm.mixing import op10_mixing
+from flowloom.llm.quality import op1_quality_classifier
 from flowloom.llm.simhash import op3_simhash_dedup
 from flowloom.llm.suffix_dedup import op6_suffix_dedup
 from flowloom.llm.toxicity import op2_toxicity
@@ -15,6 +16,7 @@ from flowloom.llm.toxicity import op2_toxicity
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_classifier": op1_quality_classifier,
         "op2_toxicity": op2_toxicity,
         "op3_simhash_dedup": op3_simhash_dedup,
         "op6_suffix_dedup": op6_suffix_dedup,
