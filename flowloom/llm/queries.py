@@ -12,6 +12,7 @@ from flowloom.llm.quality import op1_quality_classifier
 from flowloom.llm.simhash import op3_simhash_dedup
 from flowloom.llm.suffix_dedup import op6_suffix_dedup
 from flowloom.llm.toxicity import op2_toxicity
+from flowloom.llm.vantage import op4_nearest_neighbours
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_classifier": op1_quality_classifier,
         "op2_toxicity": op2_toxicity,
         "op3_simhash_dedup": op3_simhash_dedup,
+        "op4_nearest_neighbours": op4_nearest_neighbours,
         "op6_suffix_dedup": op6_suffix_dedup,
         "op8_html_extraction": op8_html_extraction,
         "op10_mixing": op10_mixing,
