@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from flowloom.llm.html_text import op8_html_extraction
 from flowloom.llm.mixing import op10_mixing
+from flowloom.llm.multi_index import op9_embedding_dedup
 from flowloom.llm.quality import op1_quality_classifier
 from flowloom.llm.simhash import op3_simhash_dedup
 from flowloom.llm.suffix_dedup import op6_suffix_dedup
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_nearest_neighbours": op4_nearest_neighbours,
         "op6_suffix_dedup": op6_suffix_dedup,
         "op8_html_extraction": op8_html_extraction,
+        "op9_embedding_dedup": op9_embedding_dedup,
         "op10_mixing": op10_mixing,
     }
 
