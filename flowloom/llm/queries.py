@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from flowloom.llm.html_text import op8_html_extraction
+from flowloom.llm.licenses import op7_license_scan
 from flowloom.llm.mixing import op10_mixing
 from flowloom.llm.multi_index import op9_embedding_dedup
 from flowloom.llm.quality import op1_quality_classifier
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash_dedup": op3_simhash_dedup,
         "op4_nearest_neighbours": op4_nearest_neighbours,
         "op6_suffix_dedup": op6_suffix_dedup,
+        "op7_license_scan": op7_license_scan,
         "op8_html_extraction": op8_html_extraction,
         "op9_embedding_dedup": op9_embedding_dedup,
         "op10_mixing": op10_mixing,
