@@ -10,6 +10,7 @@ from flowloom.llm.html_text import op8_html_extraction
 from flowloom.llm.licenses import op7_license_scan
 from flowloom.llm.mixing import op10_mixing
 from flowloom.llm.multi_index import op9_embedding_dedup
+from flowloom.llm.pieces import op5_sentencepiece
 from flowloom.llm.quality import op1_quality_classifier
 from flowloom.llm.simhash import op3_simhash_dedup
 from flowloom.llm.suffix_dedup import op6_suffix_dedup
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": op2_toxicity,
         "op3_simhash_dedup": op3_simhash_dedup,
         "op4_nearest_neighbours": op4_nearest_neighbours,
+        "op5_sentencepiece": op5_sentencepiece,
         "op6_suffix_dedup": op6_suffix_dedup,
         "op7_license_scan": op7_license_scan,
         "op8_html_extraction": op8_html_extraction,
