@@ -184,7 +184,8 @@ def near_links(distinct: DataFrame, most: int = MOST, blocks: int | None = None,
     low, high = F.least("own", "other"), F.greatest("own", "other")
     rows = rows.select(F.xxhash64("choice", "bits", low, high).alias("task"), (F.col("own") > F.col("other")).cast("int").alias("side"), "fp", "rep")
     # two tasks of one hash share ranges; that adds comparisons of other buckets, no wrong link, as each pair is verified
-    return rows.repartition("task").sortWithinPartitions("task", "side", "fp").mapInPandas(_forests(most), "a long, b long")
+    unsigned = F.col("fp").bitwiseXOR(F.lit(-(1 << 63)))  # as a trie has it, high bit first
+    return rows.repartition("task").sortWithinPartitions("task", "side", unsigned).mapInPandas(_forests(most), "a long, b long")
 
 
 def simhash_components(docs: DataFrame, text: str = "text", width: int = WIDTH, most: int = MOST) -> DataFrame:
@@ -199,3 +200,16 @@ def simhash_components(docs: DataFrame, text: str = "text", width: int = WIDTH,
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", width: int = WIDTH, most: int = MOST) -> DataFrame:
+    """The rows of docs whose doc_id names their group; all columns kept. Rows with null doc_id can't be named and stay; of
+    rows that repeat a doc_id one stays."""
+    found = written(simhash_components(docs, text, width, most), "simhash-found")
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = written(found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count().where(F.col("count") > 1).select("doc_id"), "simhash-repeated")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
