@@ -29,7 +29,7 @@ def truthy(c: Column, kind: DataType) -> Column:
         found = F.size(c) > 0
     elif isinstance(kind, VariantType):
         text = F.to_json(c)
-        found = ~F.is_variant_null(c) & ~text.isin("false", '""', "[]", "{}") & (F.coalesce(F.try_variant_get(c, "$", "double"), F.lit(1.0)) != 0)
+        found = ~F.is_variant_null(c) & ~text.isin("false", '""', "[]", "{}") & (F.startswith(text, F.lit('"')) | (F.coalesce(F.try_variant_get(c, "$", "double"), F.lit(1.0)) != 0))
     elif isinstance(kind, StructType):
         found = F.lit(len(kind.fields) > 0) & c.isNotNull()
     else:

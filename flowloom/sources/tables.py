@@ -56,7 +56,7 @@ def call_each(df: DataFrame, call: Callable[[dict], str | None], column: str = "
     batch by batch, and must be safe to repeat, as tasks are. on_error: collect (text in `error`), skip, or fail_fast."""
     if on_error not in ("collect", "skip", "fail_fast"):
         raise ValueError(f"unknown on_error {on_error!r}")
-    schema = StructType(df.schema.fields).add(column, "string").add("error", "string")
+    schema = StructType([*df.schema.fields]).add(column, "string").add("error", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
