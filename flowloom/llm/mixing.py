@@ -11,7 +11,7 @@ by shard; shards hold about `shard_rows` rows, so that a source with a third of
 
 Cases: null text counts 0 words and is never taken; null source is a source of its own, ranked last; empty tables
 give an empty result; repeated rows each take part, and rows that are alike in all columns may swap their parts;
-columns named like the ones added here are replaced.
+columns named like the ones that mix() adds are replaced there and kept by mixed_documents().
 """
 
 from __future__ import annotations
@@ -60,7 +60,10 @@ def sainte_lague(parties: DataFrame, group: list[str], claim: str, seats: str, k
     more = p.where(steps > 0).select(*group, *[k for k in key if k not in group], claim, "_first", "_miss", F.explode(F.sequence(F.lit(1), steps.cast("int"))).alias("_j"))
     seat = F.when(F.col("_miss") > 0, F.col("_first") + F.col("_j") - 1).otherwise(F.col("_first") - F.col("_j"))
     quotient = F.col(claim) / (2 * seat + 1)
-    order = Window.partitionBy(*group).orderBy(F.when(F.col("_miss") > 0, -quotient).otherwise(quotient), *key, "_j")
+    # of equal quotients the first party keeps its seat, so it is the first to gain one and the last to lose one
+    gains, loses = F.col("_miss") > 0, F.col("_miss") < 0
+    name = F.struct(*key, "_j")
+    order = Window.partitionBy(*group).orderBy(F.when(gains, -quotient).otherwise(quotient), F.when(gains, name), F.desc(F.when(loses, name)))
     more = more.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= F.abs("_miss"))
     more = more.groupBy(*key).agg(F.sum(F.signum("_miss")).cast("long").alias("_more"))
     return p.join(more, key, "left").withColumn(into, F.col("_first") + F.coalesce("_more", F.lit(0))).drop("_total", "_share", "_first", "_miss", "_more")
@@ -107,16 +110,16 @@ def mixed_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame
     """The mix itself, with the columns of `docs`: a row for each time a whole text is taken, and one for the words of a
     text that lie in blocks taken once more, joined by one space."""
     columns = docs.columns
-    laid = mix(docs, text, **options).where(F.col("taken") > 0)
+    whole = docs.select("doc_id", "source", text, F.struct(*[c for c in columns if c != text]).alias("_row"))
+    laid = mix(whole, text, **options).where(F.col("taken") > 0)
     words = F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     part = F.array_join(F.filter(words, lambda _, k: _chosen(F.floor((F.col("_start") + k) / F.col("_block")))), " ")
     rest = F.col("taken") % F.col("size")
     times = F.floor(F.col("taken") / F.col("size"))
     texts = F.concat(F.array_repeat(F.col(text), times.cast("int")), F.when(rest > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
-    out = laid.select(*[c for c in columns if c != text], F.explode(texts).alias(text))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.char_length(text).cast("long"))
-    return out.select(*columns)
+    out = laid.select("_row", F.explode(texts).alias("_text"))
+    made = {text: F.col("_text"), "n_chars": F.char_length("_text").cast(docs.schema["n_chars"].dataType) if "n_chars" in columns else None}
+    return out.select(*[made[c].alias(c) if c in made else F.col("_row").getField(c).alias(c) for c in columns])
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
