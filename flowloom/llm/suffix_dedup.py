@@ -317,14 +317,9 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.set_column(at, "text", pa.array([unpack(x) for x in batch.column(at).to_pylist()], pa.binary()))
 
 
-def with_row_id(docs: DataFrame, text: str) -> DataFrame:
-    """A row is known by a hash of its doc_id and text."""
-    return docs.withColumn("rid", F.xxhash64("doc_id", text))
-
-
 def covered_intervals(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     """(rid, spans): for texts that lose bytes, sorted arrays of (a, b), b exclusive; they may overlap."""
-    texts = with_row_id(docs.select("doc_id", F.col(text).alias("text")), "text").select("rid", "text")
+    texts = docs.select(F.xxhash64("doc_id", text).alias("rid"), F.col(text).alias("text"))  # a row is known by both
     found = runs(texts, length)  # made twice, which costs less than keeping them
     leads = written(found.select("lead").groupBy("lead").count().where(F.col("count") > 1).select("lead"), "suffix-leads")
     repeats = written(found.join(leads.hint("merge"), "lead", "left_semi"), "suffix-repeats")
@@ -338,7 +333,7 @@ def _joined(docs: DataFrame, text: str, length: int) -> DataFrame:
     """docs with packed text as `text`, and spans; both under names of their own."""
     spans = written(covered_intervals(docs, text, length), "suffix-spans")
     others = [F.col(c).alias(f"_{k}") for k, c in enumerate(docs.columns) if c != text]
-    here = packed(with_row_id(docs, text).select("rid", F.col(text).alias("text"), *others))
+    here = packed(docs.select(F.xxhash64("doc_id", text).alias("rid"), F.col(text).alias("text"), *others))
     return here.join(spans, "rid", "left").drop("rid")
 
 
