@@ -65,3 +65,36 @@ def edited_above(edges: DataFrame, edited: DataFrame, failed: DataFrame, most: i
     """Failed nodes that an edited node lies above of, or is; where there is none, a run may continue."""
     above = reachable(edges, most).join(edited.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node"))
     return failed.join(above.unionByName(edited.select("node")).distinct(), "node", "left_semi")
+
+
+def add_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
+    if not new.join(nodes.select("id"), "id", "left_semi").isEmpty():
+        raise ValueError("a node with that id is there already")
+    return nodes.unionByName(new)
+
+
+def renamed_node(nodes: DataFrame, edges: DataFrame, old: str, new: str) -> tuple[DataFrame, DataFrame]:
+    """The node and the ends of its edges; texts that name it stay."""
+    named = lambda c: F.when(F.col(c) == old, F.lit(new)).otherwise(F.col(c))
+    return nodes.withColumn("id", named("id")), edges.withColumn("src", named("src")).withColumn("dst", named("dst"))
+
+
+def removed_node(nodes: DataFrame, edges: DataFrame, gone: str) -> tuple[DataFrame, DataFrame]:
+    return nodes.where(F.col("id") != gone), edges.where((F.col("src") != gone) & (F.col("dst") != gone))
+
+
+def connected_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
+    """Adds edges; an edge that is there already stays single."""
+    return edges.unionByName(new).distinct()
+
+
+def disconnected_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    return edges.join(gone, edges.columns, "left_anti")
+
+
+def patched_configs(nodes: DataFrame, patches: DataFrame) -> DataFrame:
+    """patches (id, patch): merge patches of the nodes' config (JSON text); null takes a key out."""
+    from flowloom.operators.state import merge_patched
+
+    joined = nodes.join(patches, "id", "left")
+    return joined.withColumn("config", F.when(F.col("patch").isNotNull(), merge_patched("config", "patch")).otherwise(F.col("config"))).drop("patch")

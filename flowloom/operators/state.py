@@ -170,3 +170,28 @@ def copied_thread(checkpoints: DataFrame, source: str, target: str) -> DataFrame
     if not checkpoints.where(F.col("thread_id") == target).isEmpty():
         raise ValueError(f"thread {target!r} isn't empty")
     return checkpoints.where(F.col("thread_id") == source).withColumn("thread_id", F.lit(target))
+
+
+def threads(checkpoints: DataFrame, thread: str = "thread_id") -> DataFrame:
+    return checkpoints.select(thread).distinct()
+
+
+def without_runs(checkpoints: DataFrame, runs: DataFrame, run: str = "run_id") -> DataFrame:
+    return checkpoints.join(runs.select(run).distinct(), run, "left_anti")
+
+
+def forked(checkpoints: DataFrame, node: str, parent: str, source, new_id, changes: dict[str, Column]) -> DataFrame:
+    """The table with one more checkpoint: the source's child, with changed columns."""
+    child = checkpoints.where(F.col(node) == source).withColumns({**changes, parent: F.col(node), node: F.lit(new_id)})
+    return checkpoints.unionByName(child.select(*checkpoints.columns))
+
+
+def retained_notes(notes: DataFrame, scope: str, node: str, superseded_by: str, pinned: str, keep: int, most: int = 16) -> DataFrame:
+    """Groups of notes that supersede each other stay or go together: the groups with the newest last notes stay until they
+    hold `keep` notes; a group with a pinned note always stays."""
+    top = ancestors(notes, notes, node, superseded_by, most).groupBy("origin").agg(F.max_by("node", "depth").alias("group"))
+    grouped = notes.join(top, notes[node] == top.origin).drop("origin")
+    sizes = grouped.groupBy(scope, "group").agg(F.count(F.lit(1)).alias("n"), F.bool_or(pinned).alias("_pinned"))
+    before = F.sum("n").over(Window.partitionBy(scope).orderBy(F.desc("group")))
+    kept = sizes.withColumn("_so_far", before).where((F.col("_so_far") <= keep) | F.col("_pinned"))
+    return grouped.join(kept.select(scope, "group"), [scope, "group"], "left_semi").drop("group")

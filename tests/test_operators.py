@@ -220,3 +220,42 @@ def test_journal_and_stream(spark, tmp_path):
     assert rows(done, "run_id", "seq", "elapsed_ms") == [("r1", 1, 60000), ("r1", 3, 60000), ("r1", 5, 60000)]
     sessions = streams.to_table(streams.session_counts(streams.tail(spark, str(tmp_path / "in"), log.schema, 1), "ts", ["run_id"], "5 minutes", "1 minute"))
     assert set(sessions.columns) == {"start", "end", "run_id", "n", "batch"}
+
+
+def test_expression_functions(spark):
+    from flowloom.functions import expr as X
+
+    one = spark.sql("SELECT array(3, 1, 2, 1) AS a, map('b', 1, 'a', 2) AS m, 'a--b--' AS s, array('x', null, 'z') AS t, 'é☃' AS u, array(struct(2 AS k, 'p' AS v), struct(1 AS k, 'q' AS v), struct(2 AS k, 'r' AS v)) AS rows")
+    a, m, s = F.col("a"), F.col("m"), F.col("s")
+    r = one.select(
+        X.keys(m).alias("keys"), X.has(m, F.lit("a")).alias("has"), X.with_entries(m, lambda e: F.struct(F.upper(e["key"]).alias("key"), (e["value"] * 2).alias("value"))).alias("with"),
+        X.contains_all(a, F.array(F.lit(1), F.lit(3))).alias("contains"), X.indices(a, F.lit(1)).alias("at"), X.numbers(1, F.lit(4)).alias("range"), X.numbers(5, F.lit(4)).alias("none"),
+        X.running(a, F.lit(0), lambda x, y: x + y).alias("foreach"), X.pieces(s, "--").alias("pieces"), X.pieces(F.lit(""), "-").alias("no_pieces"), X.rtrimstr(s, "--").alias("rtrim"), X.ltrimstr(s, "a-").alias("ltrim"),
+        X.joined(F.col("t"), "+").alias("join"), X.to_number(F.lit("1.5e1")).alias("n"), X.to_number(s).alias("nan"), X.code_points(F.col("u")).alias("codes"), X.from_code_points(X.code_points(F.col("u"))).alias("text"),
+        F.transform(X.group_by(F.col("rows"), lambda x: x["k"]), lambda g: X.joined(F.transform(g, lambda x: x["v"]), "")).alias("groups"), X.max_by(F.col("rows"), lambda x: x["k"])["v"].alias("max"), X.min_by(F.col("rows"), lambda x: x["k"])["v"].alias("min"),
+        X.alternative(F.lit(None).cast("int"), F.lit(7)).alias("alt"), X.alternative(F.lit(False), F.lit(True), True).alias("alt2"),
+    ).first()
+    assert r["keys"] == ["a", "b"] and r["has"] and r["with"] == {"A": 4, "B": 2} and r["contains"]
+    assert (r["at"], r["range"], r["none"], r["foreach"]) == ([1, 3], [1, 2, 3], [], [3, 4, 6, 7])
+    assert (r["pieces"], r["no_pieces"], r["rtrim"], r["ltrim"], r["join"]) == (["a", "b", ""], [], "a--b", "-b--", "x++z")
+    assert (r["n"], r["nan"], r["codes"], r["text"]) == (15.0, None, [233, 9731], "é☃")
+    assert (r["groups"], r["max"], r["min"], r["alt"], r["alt2"]) == (["q", "pr"], "r", "q", 7, True)
+    twice = spark.sql("SELECT array(struct('a' AS key, 1 AS value), struct('a' AS key, 2 AS value)) AS e")
+    assert twice.select(X.from_entries(F.col("e"))).first()[0] == {"a": 2}
+
+
+def test_graph_edits_and_forks(spark):
+    nodes = spark.createDataFrame([("a", "{}"), ("b", '{"x": 1}')], "id string, config string")
+    edges = spark.createDataFrame([("a", "b")], "src string, dst string")
+    with pytest.raises(ValueError):
+        graphs.add_nodes(nodes, nodes.where("id = 'a'"))
+    assert graphs.connected_edges(edges, edges).count() == 1 and graphs.disconnected_edges(edges, edges).count() == 0
+    assert rows(graphs.removed_node(nodes, edges, "b")[1], "src") == []
+    assert rows(graphs.renamed_node(nodes, edges, "b", "c")[1], "src", "dst") == [("a", "c")]
+    assert rows(graphs.patched_configs(nodes, spark.createDataFrame([("b", '{"x": null, "y": 2}')], "id string, patch string")), "id", "config") == [("a", "{}"), ("b", '{"y": 2}')]
+    c = spark.createDataFrame([("t", 1, None, 5.0)], "thread_id string, id long, parent long, state double")
+    assert rows(state.forked(c, "id", "parent", 1, 2, {"state": F.lit(6.0)}), "id", "parent", "state") == [(1, None, 5.0), (2, 1, 6.0)]
+    with pytest.raises(ValueError):
+        state.copied_thread(c, "t", "t")
+    assert rows(state.copied_thread(c, "t", "u"), "thread_id", "id") == [("u", 1)]
+    assert rows(state.threads(c), "thread_id") == [("t",)]
