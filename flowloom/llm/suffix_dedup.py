@@ -39,7 +39,7 @@ from flowloom.llm.common import slices, table, text_column, utf8, written
 
 LENGTH = 200
 LEAD = 24
-HOT = 4096
+HOT = 1 << 14
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.uint64((1 << 24) - 1)
 _PIECE = 1 << 22
