@@ -98,3 +98,40 @@ def patched_configs(nodes: DataFrame, patches: DataFrame) -> DataFrame:
 
     joined = nodes.join(patches, "id", "left")
     return joined.withColumn("config", F.when(F.col("patch").isNotNull(), merge_patched("config", "patch")).otherwise(F.col("config"))).drop("patch")
+
+
+def duplicate_edges(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("src", "dst", "port").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+
+
+def unbounded_cycles(nodes: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
+    """Nodes on a cycle that no loop node lies on: they reach themselves, and no loop node both ways."""
+    pairs = reachable(edges, most)
+    loops = nodes.where("kind = 'loop'").select(F.col("id").alias("dst"))
+    there = pairs.join(loops, "dst", "left_semi")
+    both = there.join(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi").select(F.col("src").alias("node"))
+    return pairs.where("src = dst").select(F.col("src").alias("node")).join(both, "node", "left_anti")
+
+
+def ungathered(nodes: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
+    """Scatter nodes from which no gather node is reached."""
+    gathers = nodes.where("kind = 'gather'").select(F.col("id").alias("dst"))
+    closed = reachable(edges, most).join(gathers, "dst", "left_semi").select(F.col("src").alias("id"))
+    return nodes.where("kind = 'scatter'").join(closed, "id", "left_anti")
+
+
+def nested_scatters(nodes: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
+    """Pairs of scatter nodes of which the first reaches the second before any gather: edges out of gathers don't count."""
+    gathers = nodes.where("kind = 'gather'").select(F.col("id").alias("src"))
+    inside = reachable(edges.join(gathers, "src", "left_anti"), most)
+    scatters = nodes.where("kind = 'scatter'")
+    return inside.join(scatters.select(F.col("id").alias("src")), "src", "left_semi").join(scatters.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
+
+
+def upstream(edges: DataFrame, nodes: DataFrame, start: DataFrame, kind: str, most: int = 64) -> DataFrame:
+    """For each start node the nearest node of a kind above it (the smallest id of equally near ones)."""
+    from flowloom.operators.state import ancestors
+
+    reached = ancestors(start, edges.select(F.col("dst").alias("node"), F.col("src").alias("parent")), "node", "parent", most).where("depth > 0")
+    found = reached.join(nodes.where(F.col("kind") == kind).select(F.col("id").alias("node")), "node", "left_semi")
+    return found.groupBy("origin").agg(F.min(F.struct("depth", "node")).alias("_m")).select(F.col("origin").alias("node"), F.col("_m.node").alias("above"), F.col("_m.depth").alias("depth"))

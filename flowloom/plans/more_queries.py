@@ -136,3 +136,42 @@ def checkpoint_delete_runs(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     gone = o.where("o_totalprice > 490000").select(F.col("o_custkey").alias("thread"))
     return state.without_runs(o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("thread")), gone, "thread")
+
+
+@query("SELECT l_partkey AS src, l_suppkey AS dst, l_returnflag AS port, count(*) AS times FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def validate_duplicate_edges(spark: SparkSession, d: str) -> DataFrame:
+    return graphs.duplicate_edges(table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.col("l_returnflag").alias("port")))
+
+
+def _kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Nations scatter, rich customers gather, regions are conditions."""
+    n = table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.lit("scatter").alias("kind"))
+    c = table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.when(F.col("c_acctbal") > 9800, "gather").otherwise("agent").alias("kind"))
+    r = table(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"), F.lit("condition").alias("kind"))
+    return n.unionByName(c).unionByName(r)
+
+
+@query("SELECT 'n' || n_nationkey AS id FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9800)")
+def validate_ungathered(spark: SparkSession, d: str) -> DataFrame:
+    return graphs.ungathered(_kinds(spark, d), tree(spark, d)).select("id")
+
+
+@query("SELECT 'c' || c_custkey AS node, 'r' || n_regionkey AS above, CAST(2 AS BIGINT) AS depth FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_acctbal < 500")
+def upstream_condition(spark: SparkSession, d: str) -> DataFrame:
+    start = table(spark, d, "customer").where("c_acctbal < 500").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"))
+    return graphs.upstream(tree(spark, d), _kinds(spark, d), start, "condition")
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT n_nationkey AS s, (n_nationkey * 3) % 25 AS t FROM nation), r AS (SELECT s, t FROM e UNION SELECT r.s, e.t FROM r JOIN e ON e.s = r.t)
+SELECT s AS node FROM r a WHERE s = t AND NOT EXISTS (SELECT 1 FROM r x JOIN r y ON x.s = y.t AND x.t = y.s WHERE x.s = a.s AND x.t IN (1, 5))""")
+def validate_unbounded_cycles(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation")
+    nodes = n.select(F.col("n_nationkey").alias("id"), F.when(F.col("n_nationkey").isin(1, 5), "loop").otherwise("agent").alias("kind"))
+    return graphs.unbounded_cycles(nodes, n.select(F.col("n_nationkey").alias("src"), ((F.col("n_nationkey") * 3) % 25).alias("dst")))
+
+
+@query("SELECT p_partkey AS tool FROM part WHERE p_brand NOT IN (SELECT 'Brand#' || s_nationkey FROM supplier)")
+def host_facts_anti(spark: SparkSession, d: str) -> DataFrame:
+    """Tools that no host offers."""
+    offered = table(spark, d, "supplier").select(F.concat(F.lit("Brand#"), F.col("s_nationkey").cast("string")).alias("p_brand")).distinct()
+    return table(spark, d, "part").select(F.col("p_partkey").alias("tool"), "p_brand").join(offered, "p_brand", "left_anti").select("tool")
