@@ -176,14 +176,14 @@ def repeated_starts(n: np.ndarray, before: np.ndarray, segments: np.ndarray, end
     `segments`."""
     m = len(n)
     starts = ends - (n + length - 1)
-    anchor = starts + before
+    anchor, ends, starts = ((x + 0).astype(np.int32) for x in (starts + before, ends, starts))
     width_r, width_l = -(-length // 8) * 8, -(-(length - LEAD) // 8) * 8
-    place = np.arange(width_r)
-    at = (anchor[:, None] + place).astype(np.int32)
-    right = np.where((at < ends[:, None]) & (place < length), segments[np.minimum(at, len(segments) - 1)], 0).astype(np.uint8)
-    place = np.arange(width_l)
-    at = (anchor[:, None] - 1 - place).astype(np.int32)
-    left = np.where(at >= starts[:, None], segments[np.maximum(at, 0)], 0).astype(np.uint8)
+    place = np.arange(width_r, dtype=np.int32)
+    at = anchor[:, None] + place
+    right = np.where((at < ends[:, None]) & (place < length), segments[np.minimum(at, np.int32(len(segments) - 1))], 0).astype(np.uint8)
+    place = np.arange(width_l, dtype=np.int32)
+    at = anchor[:, None] - np.int32(1) - place
+    left = np.where(at >= starts[:, None], segments[np.maximum(at, np.int32(0))], 0).astype(np.uint8)
     del at
     (order_r, common_r), (order_l, common_l) = multikey_order(right), multikey_order(left)
     first, last = np.full(m, -1), np.full(m, -1)
@@ -232,7 +232,7 @@ def _cut(length: int):
     return run
 
 
-def _bucket(length: int, piece: int = 20_000):
+def _bucket(length: int, piece: int = 8_000):
     """A bucket, sorted by leading bytes -> covered starts; whole groups of leading bytes are compared together."""
 
     def done(rows: pa.Table) -> list[pa.RecordBatch]:
