@@ -5,7 +5,8 @@ a grid, and a vector lies in the cell of its halves' nearest centroids. A vector
 order of the sum of squared distances of its halves to the centroids, found by the multi-sequence traversal: the cell
 with the least sum is taken next, and only its two neighbours in the sorted lists of centroids become candidates. How
 many cells are visited is fixed by a target recall: on a bounded sample of vectors that are moved by the largest angle
-that still links (and of real linked pairs among the sample), the least number of cells that finds the target share.
+that still links, the least number of cells that finds the target share, from one side or the other. Where a bounded
+number of visits can't reach it, the grid is made coarser until it can.
 Every pair met in a cell is verified by its cosine in double precision.
 
 Codebooks are fitted (Lloyd's k-means) on at most SAMPLE vectors with the smallest hashes; every vector is indexed. K grows with the
@@ -98,24 +99,29 @@ class Grid:
 
 
 def fit_grid(sample: np.ndarray, n: int, least: float, recall: float, per_cell: int, most_visits: int = 256) -> Grid:
+    """A grid for n vectors, as fine as `per_cell` asks for; if that would need over `most_visits` visits for the target recall,
+    the grid is made coarser until it is reached (a single cell holds all, so in the end every pair is met)."""
     unit = unit_rows(sample)
-    k = max(1, min(len(unit), int(np.ceil(np.sqrt(n / per_cell)))))
     a, b = halves(unit)
-    grid = Grid(codebook(a, k), codebook(b, k, seed=3) if b.shape[1] else np.zeros((1, 0)))
     tried = unit[:2048]
     rng = np.random.default_rng(4)
     side = rng.normal(size=tried.shape)
     side = side - (side * tried).sum(axis=1)[:, None] * tried
     norm = np.sqrt((side**2).sum(axis=1))[:, None]
     moved = np.where(norm > 1e-9, least * tried + np.sqrt(1 - least**2) * side / np.maximum(norm, 1e-9), tried)
-    visits = min(most_visits, len(grid.first) * len(grid.second))
-    home, back = grid.cell(moved), grid.cell(tried)
-    there, here = grid.nearest_cells(tried, visits) == home[:, None], grid.nearest_cells(moved, visits) == back[:, None]
-    found = np.minimum(np.where(there.any(axis=1), there.argmax(axis=1), visits), np.where(here.any(axis=1), here.argmax(axis=1), visits))
-    share = np.bincount(found, minlength=visits + 1)[:visits].cumsum() / len(tried)
-    enough = np.flatnonzero(share >= recall)
-    grid.visits = int(enough[0]) + 1 if len(enough) else visits
-    return grid
+    k = max(1, min(len(unit), int(np.ceil(np.sqrt(n / per_cell)))))
+    while True:
+        grid = Grid(codebook(a, k), codebook(b, k, seed=3) if b.shape[1] else np.zeros((1, 0)))
+        visits = min(most_visits, len(grid.first) * len(grid.second))
+        home, back = grid.cell(moved), grid.cell(tried)
+        there, here = grid.nearest_cells(tried, visits) == home[:, None], grid.nearest_cells(moved, visits) == back[:, None]
+        found = np.minimum(np.where(there.any(axis=1), there.argmax(axis=1), visits), np.where(here.any(axis=1), here.argmax(axis=1), visits))
+        share = np.bincount(found, minlength=visits + 1)[:visits].cumsum() / len(tried)
+        enough = np.flatnonzero(share >= recall)
+        if len(enough):
+            grid.visits = int(enough[0]) + 1
+            return grid
+        k = max(1, k // 2)
 
 
 def _placed(grids: dict[int, Grid]):
