@@ -181,8 +181,8 @@ def featured(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, training: Column, text: str = "text", n_positive: int = N_POSITIVE, n_unlabelled: int = N_UNLABELLED) -> Model | None:
     order = (F.xxhash64(F.lit(13), "doc_id"), F.col("doc_id"))
-    positive = labels.where(training & (F.col(label) > 0) & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(*order).limit(n_positive)
-    other = docs.where(training & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(*order).limit(n_unlabelled)
+    positive = labels.where(training & (F.col(label) > 0) & F.col("doc_id").isNotNull()).select("doc_id").orderBy(*order).limit(n_positive).distinct()
+    other = docs.where(training & F.col("doc_id").isNotNull()).select("doc_id").orderBy(*order).limit(n_unlabelled).distinct()
     sample = positive.withColumn("p", F.lit(1)).unionByName(other.withColumn("p", F.lit(0))).groupBy("doc_id").agg(F.max("p").alias("p"), (F.min("p") == 0).alias("u"))
     sample = written(sample, "quality-sample")
     texts = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(sample.select("doc_id")), "doc_id")
