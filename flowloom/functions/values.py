@@ -109,8 +109,11 @@ def bounded(c: Column, most: int) -> Column:
 
 
 def glob(c: Column, pattern: str) -> Column:
-    """Whether all of a text matches a pattern in which * stands for anything."""
-    return c.rlike("(?s)^" + ".*".join(re.escape(p) for p in pattern.split("*")) + "$")
+    """Whether all of a text matches a pattern in which * stands for anything. Each piece between stars takes its first
+    place and keeps it, so a*b doesn't match axbxb."""
+    first, *others = pattern.split("*")
+    body = re.escape(first) + "".join(f"(?>.*?{re.escape(p)})" for p in others if p)
+    return c.rlike("(?s)^" + body + (".*" if others and not others[-1] else "") + "\\z")
 
 
 def rounded(c: Column, places: int) -> Column:

@@ -90,6 +90,11 @@ def test_values(spark):
     assert r["fnv"] == f"{h:016x}"
 
 
+@pytest.mark.parametrize("pattern, text, expected", [("a*b", "axb", True), ("a*b", "axbxb", False), ("*", "x\n", True), ("a*", "ba", False), ("*.x", "a.x", True), ("a.b", "axb", False), ("a*b*", "axbxb", True), ("a", "a\n", False)])
+def test_glob(spark, pattern, text, expected):
+    assert spark.range(1).select(V.glob(F.lit(text), pattern)).first()[0] is expected
+
+
 def test_scatter_can_make_fewer_lanes(spark):
     df = spark.range(10).withColumnRenamed("id", "ord")
     lanes = rows(fanout.scatter(df, 6), "lane", "lane_count")
