@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from flowloom.llm.html_text import op8_html_extraction
 from flowloom.llm.licenses import op7_license_scan
 from flowloom.llm.mixing import op10_mixing
-from flowloom.llm.multi_index import op9_embedding_dedup
+from flowloom.llm.multi_index import OP9_SQL, op9_embedding_dedup
 from flowloom.llm.pieces import op5_sentencepiece
 from flowloom.llm.quality import op1_quality_classifier
 from flowloom.llm.simhash import op3_simhash_dedup
@@ -34,4 +34,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other operators hash, train or search; tests/llm compares them with brute force."""
+    return {"op9_embedding_dedup": OP9_SQL}

@@ -113,6 +113,17 @@ def test_tables(spark, sf_dir):
     assert valid_vectors(empty).count() == 0
 
 
+def test_links_match_sql(spark):
+    import duckdb
+
+    df = made(spark, n=1100).where("vec_id is not null and (vec_id < 1000 or vec_id <> 1350)")
+    con = duckdb.connect()
+    con.register("embeddings", df.toPandas())
+    want = sorted(con.execute(multi_index.OP9_SQL).fetchall())
+    got = sorted(tuple(r) for r in multi_index.near_duplicates(df).select("vec_id", "n_links", "component_id", "kept").collect())
+    assert got == want and sum(r[1] for r in got) > 100_000
+
+
 def test_multi_sequence_visits_nearest_cells():
     rng = np.random.default_rng(3)
     grid = multi_index.Grid(rng.normal(size=(7, 3)), rng.normal(size=(5, 3)))
