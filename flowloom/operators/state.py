@@ -123,17 +123,23 @@ def latest_checkpoint(checkpoints: DataFrame, scope: list[str], seq: str = "seq"
 
 
 def ancestors(start: DataFrame, parents: DataFrame, node: str, parent: str, most: int) -> DataFrame:
-    """(origin, node, depth): each row of start with all that lies above it, `most` steps at most. One join for each step;
-    it ends once nothing moves."""
-    up = parents.select(F.col(node).alias("_child"), F.col(parent).alias("_parent")).where(F.col(parent).isNotNull())
-    reached = start.select(F.col(node).alias("origin"), F.col(node).alias("node"), F.lit(0).cast("long").alias("depth"))
-    out, edge = reached, reached
-    for k in range(1, most + 1):
-        edge = staged(edge.join(up, edge.node == up._child).select("origin", F.col("_parent").alias("node"), F.lit(k).cast("long").alias("depth")), "ancestors")
-        if edge.isEmpty():
+    """(origin, node, depth): each row of start with all that lies above it, `most` steps at most; a row for each way up.
+    What is known up to k steps and the jumps of k steps give what lies up to 2 k above, so the number of joins grows with
+    the logarithm of the depth; it ends once no jump is left."""
+    jump = staged(parents.select(F.col(node).alias("_from"), F.col(parent).alias("_to")).where(F.col(parent).isNotNull()), "jumps")
+    known = start.select(F.col(node).alias("origin"), F.col(node).alias("node"), F.lit(0).cast("long").alias("depth"))
+    length = 1
+    while length <= most:
+        above = known.join(jump, known.node == jump._from).select("origin", F.col("_to").alias("node"), (F.col("depth") + length).alias("depth"))
+        known = staged(known.unionByName(above), "ancestors")
+        on = jump.select(F.col("_from").alias("_via"), F.col("_to").alias("_top"))
+        length *= 2
+        if length > most:
             break
-        out = out.unionByName(edge)
-    return out
+        jump = staged(jump.join(on, jump._to == on._via).select("_from", F.col("_top").alias("_to")), "jumps")
+        if jump.isEmpty():
+            break
+    return known.where(F.col("depth") <= most)
 
 
 def state_history(checkpoints: DataFrame, thread: str, node: str, parent: str, seq: str, limit: int) -> DataFrame:

@@ -22,11 +22,11 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     return items.as_items(table(spark, d, "events"), "event_id")
 
 
-def order_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Orders with their lines as an array of structs; an order without lines has an empty one."""
+def order_lines(spark: SparkSession, d: str, base: DataFrame | None = None) -> DataFrame:
+    """Orders (or base) with their lines as an array of structs; an order without lines has an empty one."""
     line = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast(L).alias("qty"), F.round("l_extendedprice", 2).alias("price"), "l_returnflag", "l_shipdate")
     lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
-    o = orders(spark, d)
+    o = orders(spark, d) if base is None else base
     joined = o.join(lines, o.o_orderkey == lines.l_orderkey, "left")
     return joined.withColumn("lines", F.coalesce("lines", F.array().cast(lines.schema["lines"].dataType))).drop("l_orderkey")
 
@@ -38,7 +38,8 @@ SELECT tier, count(*) AS n, CAST(sum(ord) AS BIGINT) AS pairs, CAST(sum(CAST(l_q
 FROM i JOIN lineitem ON l_orderkey = o_orderkey WHERE (SELECT p FROM port) GROUP BY tier""")
 def flow_order_etl(spark: SparkSession, d: str) -> DataFrame:
     """trigger -> transform -> condition -> split_out, then counted."""
-    batch = items.positions(order_lines(spark, d).select("o_orderkey", "o_totalprice", "lines", items.ORD), items.ORD)
+    placed = items.positions(orders(spark, d).select("o_orderkey", "o_totalprice", items.ORD), items.ORD)  # before the lines, which are wide
+    batch = order_lines(spark, d, placed)
     tiered = items.transform_set(batch, {"tier": F.when(F.col("o_totalprice") > 250000, "gold").otherwise("base")})
     chosen = items.condition(tiered, F.col("lines"), tiered.schema["lines"].dataType, True)
     out = items.split_out(chosen, "lines")
