@@ -205,7 +205,12 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_of_each(docs: DataFrame, text: str = "text", width: int = WIDTH, most: int = MOST) -> DataFrame:
     """The rows of docs whose doc_id names their group; all columns kept. Rows with null doc_id can't be named and stay; of
     rows that repeat a doc_id one stays."""
-    found = written(simhash_components(docs, text, width, most), "simhash-found")
+    return heads_only(docs, simhash_components(docs, text, width, most))
+
+
+def heads_only(docs: DataFrame, components: DataFrame) -> DataFrame:
+    """The rows of docs that components (doc_id, component_id for each row) name, as one_of_each has it."""
+    found = written(components, "simhash-found")
     gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     repeated = written(found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count().where(F.col("count") > 1).select("doc_id"), "simhash-repeated")
