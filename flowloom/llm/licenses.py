@@ -1,24 +1,30 @@
 """License scans by an exact set-similarity join of text blocks with license notices.
 
-A block is a line of a text, a template the set of words of a notice. They join where the share of the template's words
-that the block holds reaches the template's threshold: THRESHOLD, or 1 for notices of under SHORT words, which differ from
-each other in a single one. Tokens are put in one global order, rarest first, by the number of blocks of the whole table
-that hold them (counted in each task, then by token; the result has a row for each word of a template). A template of n
-words that must share t of them indexes only its first n - t + 1 (prefix filter): a block without any of these can't
-reach t. Of the others, blocks with under t template words go (length filter), then those whose words after the first shared one
-can't add up to t in either list (positional filter), and the rest are counted out. A block that meets several templates
-is labelled by those of the largest overlap, as notices contain each other ("Attribution" in "Attribution-NonCommercial").
+Templates are the sets of words of notices. A block meets a template if it holds the template's share of its words:
+THRESHOLD, or all for notices of under SHORT words, which differ from each other in a single one. Blocks of a template are
+lines of up to LINE words, and all windows of twice the template's words, with stride one, that stay in a paragraph (lines up to
+one without words), so notices are found however they are wrapped, and words scattered over a long text are none. Windows for
+notices of under SHORT words stay in a line, as two such notices in a row hold the words of a third; over line ends these
+must stand in order. Of blocks that overlap, the one with most words of a template is its match (the shortest of equals).
+
+Tokens are put in one global order, rarest first, by the number of lines of the whole table that hold them (counted in each
+task, then by token; the result has a row for each word of a template). A template of n words that must share t of them
+indexes only its first n - t + 1 (prefix filter): a block without any of these can't reach t. Of the others, blocks with under t
+template words go (length filter), and the rest are counted out. `matches` has all matches. One gives no label where its
+words are part of those of another match at the same place, as notices contain each other ("Attribution" in
+"Attribution-NonCommercial").
 
 Besides, `phrases` are looked for wherever their words stand consecutively, over line ends too.
 
 All is narrow: each text is read whole in one task, twice, and nothing is shuffled but the token counts.
 
-Cases: null and empty texts have no words and no labels; a text without line ends is one block, however long; repeated
+Cases: null and empty texts have no words and no labels; repeated
 words count once in a block; repeated rows give repeated results; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections.abc import Iterator
@@ -31,7 +37,7 @@ from pyspark.sql import functions as F
 from flowloom.llm.common import slices, table, text_column, utf8
 from flowloom.llm.words import ALNUM, lowered, word_hashes, word_spans
 
-THRESHOLD, SHORT = 0.8, 10
+THRESHOLD, SHORT, LINE = 0.8, 10, 40
 
 # Phrases and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -134,29 +140,61 @@ class Join:
         self.labels = [label for label, _ in templates]
         self.sets = [sorted({int(self.rank[vocabulary.number[w]]) for w in words_of(t)}) for _, t in templates]
         self.least = [len(s) if len(s) < short else math.ceil(threshold * len(s) - 1e-9) for s in self.sets]
-        self.index: dict[int, list[tuple[int, int]]] = {}
+        self.words = [np.array([vocabulary.number[w] for w in words_of(t)]) for _, t in templates]
+        self.short = [len(s) < short for s in self.sets]
+        self.member = np.zeros((len(self.sets), n), dtype=bool)
+        self.prefix = np.zeros((len(self.sets), n), dtype=bool)
         for k, (s, t) in enumerate(zip(self.sets, self.least)):
-            for i, token in enumerate(s[: len(s) - t + 1]):
-                self.index.setdefault(token, []).append((k, i))
-        self.is_prefix = np.zeros(n, dtype=bool)
-        self.is_prefix[list(self.index)] = True
-
-    def matches(self, block: list[int]) -> list[tuple[int, int]]:
-        """Template and overlap for each that a block (sorted ranks of its distinct template words) meets."""
-        tried: set[int] = set()
+            self.member[k, s] = True
+            self.prefix[k, s[: len(s) - t + 1]] = True
+
+    def matches(self, numbers: np.ndarray, doc: np.ndarray, line: np.ndarray, paragraph: np.ndarray) -> list[tuple[int, int, int, frozenset[int]]]:
+        """Template, first and last word and the template's words met, for each match in a batch of texts."""
+        at = np.flatnonzero(numbers >= 0)
+        ranks = self.rank[numbers[at]]
+        in_line = np.bincount(line, minlength=1)
         out = []
-        for j, token in enumerate(block):
-            for k, i in self.index.get(token, ()):
-                if k in tried:
-                    continue
-                tried.add(k)
-                t = self.least[k]
-                if len(block) < t or 1 + min(len(self.sets[k]) - i, len(block) - j) - 1 < t:
-                    continue
-                overlap = len(set(self.sets[k]).intersection(block))
-                if overlap >= t:
-                    out.append((k, overlap))
-        return out
+        for k, least in enumerate(self.least):
+            if not least or not self.prefix[k][ranks].any():
+                continue
+            mine = self.member[k][ranks]
+            p, r = at[mine], ranks[mine]
+            hits = np.r_[0, np.cumsum(self.prefix[k][r])]
+            span = 2 * len(self.words[k])
+            within = (line if self.short[k] else paragraph)[p]
+            lines = line[p]
+            left = np.arange(len(p))
+            right = np.minimum(np.searchsorted(p, p + span), np.searchsorted(within, within, side="right"))
+            line_start = np.flatnonzero((np.r_[True, lines[1:] != lines[:-1]]) & (in_line[lines] <= LINE) & (in_line[lines] > span))
+            left = np.r_[left, line_start]
+            right = np.r_[right, np.searchsorted(lines, lines[line_start], side="right")]
+            go = (right - left >= least) & (hits[right] > hits[left])
+            sites = []
+            for a, b in zip(left[go].tolist(), right[go].tolist()):
+                met: set[int] = set()
+                last = a
+                for x, rank in enumerate(r[a:b].tolist(), a):
+                    if rank not in met:
+                        met.add(rank)
+                        last = x
+                if len(met) >= least:
+                    sites.append((-len(met), int(p[last] - p[a]), int(p[a]), int(p[last]), frozenset(met)))
+            if self.short[k]:
+                m = len(numbers) - len(self.words[k]) + 1
+                if m > 0:
+                    whole = doc[:m] == doc[len(self.words[k]) - 1 :]
+                    for x, number in enumerate(self.words[k].tolist()):
+                        whole &= numbers[x : m + x] == number
+                    sites += [(-len(self.sets[k]), len(self.words[k]) - 1, x, x + len(self.words[k]) - 1, frozenset(self.sets[k])) for x in np.flatnonzero(whole).tolist()]
+            starts: list[int] = []
+            ends: list[int] = []
+            for _, _, a, b, met in sorted(sites, key=lambda x: x[:4]):
+                x = bisect.bisect_right(ends, a - 1)  # the first taken site that ends at a or later
+                if x == len(ends) or starts[x] > b:
+                    starts.insert(x, a)
+                    ends.insert(x, b)
+                    out.append((k, a, b, met))
+        return sorted(out, key=lambda m: (m[1], m[2], m[0]))
 
 
 _OUT = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, matches array<struct<label: string, line: long, containment: double>>"
@@ -183,27 +221,20 @@ def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] =
                     hit &= numbers[k : m + k] == token
                 for at in np.flatnonzero(hit).tolist():
                     base[doc[at]].append((at - int(first[doc[at]]), label))
-            found: list[list[tuple[str, int, float]]] = [[] for _ in range(n)]
-            known = numbers >= 0
-            probed = np.zeros(int(block[-1]) + 1 if len(block) else 0, dtype=bool)
-            ranks = np.where(known, join.rank[numbers], -1)
-            probed[block[known & join.is_prefix[np.maximum(ranks, 0)]]] = True
-            at = np.flatnonzero(known & probed[block]) if len(block) else np.zeros(0, np.int64)
-            edges = np.flatnonzero(np.r_[True, block[at][1:] != block[at][:-1], True]) if len(at) else [0]
-            for a, b in zip(edges[:-1], edges[1:]):
-                met = join.matches(sorted(set(ranks[at[a:b]].tolist())))
-                if met:
-                    top = max(overlap for _, overlap in met)
-                    k = int(doc[at[a]])
-                    line = int(lines[at[a]]) - int(lines[first[k]])
-                    found[k] += [(join.labels[t], line, overlap / len(join.sets[t])) for t, overlap in met if overlap == top]
+            found: list[list[tuple[int, int, int, frozenset[int]]]] = [[] for _ in range(n)]
+            gap = (doc[1:] != doc[:-1]) | (lines[1:] - lines[:-1] > 1)
+            paragraph = np.r_[0, np.cumsum(gap)] if len(doc) else doc
+            for match in join.matches(numbers, doc, block, paragraph):
+                found[doc[match[1]]].append(match)
             rows = []
             words = np.bincount(doc, minlength=n).tolist()
             for k in range(n):
                 places = [p for p, _ in base[k]]
                 own = {label for _, label in base[k]}
-                score = 1.0 if places else max((c for _, _, c in found[k]), default=0.0)
-                rows.append((words[k], len(places), min(places, default=None), max(places, default=None), ",".join(sorted(own)), ",".join(sorted(own | {x for x, _, _ in found[k]})), score, [{"label": x, "line": y, "containment": z} for x, y, z in found[k]]))
+                shown = [(join.labels[t], len(met) / len(join.sets[t])) for t, a, b, met in found[k] if not any(c <= b and a <= d and met < more for _, c, d, more in found[k])]
+                score = 1.0 if places else max((c for _, c in shown), default=0.0)
+                every = [{"label": join.labels[t], "line": int(lines[a] - lines[first[k]]), "containment": len(met) / len(join.sets[t])} for t, a, _, met in found[k]]
+                rows.append((words[k], len(places), min(places, default=None), max(places, default=None), ",".join(sorted(own)), ",".join(sorted(own | {x for x, _ in shown})), score, every))
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("line", pa.int64()), ("containment", pa.float64())]))]
             columns = [pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)]
             names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches"]
