@@ -1,4 +1,4 @@
-"""Queries on graphs as tables: nodes (id, kind) and edges (src, dst). One join for each step, bounded."""
+"""Queries on graphs as tables: nodes (id, kind) and edges (src, dst). One join for each step, until no row is new."""
 
 from __future__ import annotations
 
@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from flowloom.sources.staging import staged
 
 
-def layers(edges: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
+def layers(edges: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
     """(node, layer): least number of edges from a root, by breadth-first search."""
     seen = staged(roots.select("node").distinct().withColumn("layer", F.lit(0).cast("long")), "layers")
     front = seen
-    for k in range(1, most + 1):
+    k = 0
+    while most is None or k < most:
+        k += 1
         step = edges.join(front.select("node"), edges.src == F.col("node")).select(F.col("dst").alias("node")).distinct()
         front = staged(step.join(seen.select("node"), "node", "left_anti").withColumn("layer", F.lit(k).cast("long")), "layers-front")
         if front.isEmpty():
@@ -21,11 +23,11 @@ def layers(edges: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
     return seen
 
 
-def reachable(edges: DataFrame, most: int = 64) -> DataFrame:
+def reachable(edges: DataFrame, most: int | None = None) -> DataFrame:
     """(src, dst): all pairs with a path of one edge or more; path lengths double with each join."""
     pairs = staged(edges.select("src", "dst").distinct(), "reach")
     length, n = 1, pairs.count()
-    while length < most:
+    while most is None or length < most:
         further = pairs.alias("a").join(pairs.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
         pairs = staged(pairs.unionByName(further).distinct(), "reach")
         length, was, n = 2 * length, n, pairs.count()
@@ -34,7 +36,7 @@ def reachable(edges: DataFrame, most: int = 64) -> DataFrame:
     return pairs
 
 
-def on_cycle(edges: DataFrame, most: int = 64) -> DataFrame:
+def on_cycle(edges: DataFrame, most: int | None = None) -> DataFrame:
     return reachable(edges, most).where(F.col("src") == F.col("dst")).select(F.col("src").alias("node"))
 
 
@@ -61,7 +63,7 @@ def merges_on_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.where("kind = 'merge'").join(on_cycle(edges).withColumnRenamed("node", "id"), "id", "left_semi")
 
 
-def edited_above(edges: DataFrame, edited: DataFrame, failed: DataFrame, most: int = 64) -> DataFrame:
+def edited_above(edges: DataFrame, edited: DataFrame, failed: DataFrame, most: int | None = None) -> DataFrame:
     """Failed nodes that an edited node lies above of, or is; where there is none, a run may continue."""
     above = reachable(edges, most).join(edited.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node"))
     return failed.join(above.unionByName(edited.select("node")).distinct(), "node", "left_semi")
@@ -104,7 +106,7 @@ def duplicate_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst", "port").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
 
 
-def unbounded_cycles(nodes: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
+def unbounded_cycles(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
     """Nodes on a cycle that no loop node lies on: they reach themselves, and no loop node both ways."""
     pairs = reachable(edges, most)
     loops = nodes.where("kind = 'loop'").select(F.col("id").alias("dst"))
@@ -113,14 +115,14 @@ def unbounded_cycles(nodes: DataFrame, edges: DataFrame, most: int = 64) -> Data
     return pairs.where("src = dst").select(F.col("src").alias("node")).join(both, "node", "left_anti")
 
 
-def ungathered(nodes: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
+def ungathered(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
     """Scatter nodes from which no gather node is reached."""
     gathers = nodes.where("kind = 'gather'").select(F.col("id").alias("dst"))
     closed = reachable(edges, most).join(gathers, "dst", "left_semi").select(F.col("src").alias("id"))
     return nodes.where("kind = 'scatter'").join(closed, "id", "left_anti")
 
 
-def nested_scatters(nodes: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
+def nested_scatters(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
     """Pairs of scatter nodes of which the first reaches the second before any gather: edges out of gathers don't count."""
     gathers = nodes.where("kind = 'gather'").select(F.col("id").alias("src"))
     inside = reachable(edges.join(gathers, "src", "left_anti"), most)

@@ -150,11 +150,28 @@ def state_history(checkpoints: DataFrame, thread: str, node: str, parent: str, s
     return chain.join(newest.withColumnRenamed(node, "origin"), "origin").select(thread, F.col("node").alias(node), "depth")
 
 
-def pruned(checkpoints: DataFrame, scope: list[str], node: str, parent: str, seq: str, keep_last: int, most: int = 64) -> DataFrame:
+def all_above(start: DataFrame, parents: DataFrame, node: str, parent: str) -> DataFrame:
+    """Each node of start or above one, once, however far up; a cycle ends there as it brings no new node. What is known up to
+    k steps and the jumps of k steps give what lies up to 2 k above."""
+    jump = staged(parents.select(F.col(node).alias("_from"), F.col(parent).alias("_to")).where(F.col(parent).isNotNull()).distinct(), "jumps")
+    known = staged(start.select(F.col(node).alias("node")).distinct(), "above")
+    n, length, edges = known.count(), 1, max(jump.count(), 1)
+    while n and length <= 2 * edges:  # no way without a cycle is longer than the edges are many
+        above = known.join(jump, known.node == jump._from).select(F.col("_to").alias("node"))
+        known = staged(known.unionByName(above).distinct(), "above")
+        on = jump.select(F.col("_from").alias("_via"), F.col("_to").alias("_top"))
+        jump = staged(jump.join(on, jump._to == on._via).select("_from", F.col("_top").alias("_to")).distinct(), "jumps")
+        length *= 2
+        if jump.isEmpty():
+            break
+    return known
+
+
+def pruned(checkpoints: DataFrame, scope: list[str], node: str, parent: str, seq: str, keep_last: int) -> DataFrame:
     """What stays: the newest `keep_last` (1 at least) of each scope and all above them."""
     rank = F.row_number().over(Window.partitionBy(*scope).orderBy(F.desc(seq)))
     window = checkpoints.withColumn("_rank", rank).where(F.col("_rank") <= max(keep_last, 1))
-    kept = ancestors(window.select(node), checkpoints, node, parent, most).select(F.col("node").alias(node)).distinct()
+    kept = all_above(window.select(node), checkpoints, node, parent).select(F.col("node").alias(node))
     return checkpoints.join(kept, node, "left_semi")
 
 
