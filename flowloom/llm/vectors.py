@@ -1,4 +1,4 @@
-"""What the operators on embeddings share: valid vectors, and distinct vectors with their rows."""
+"""What the operators on embeddings share: valid vectors, their scale and length."""
 
 from __future__ import annotations
 
@@ -9,8 +9,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import slices
-
 
 def matrix(col: pa.Array) -> np.ndarray:
     """Rows of a list or binary column whose entries all have one length, as float64."""
@@ -23,7 +21,7 @@ def matrix(col: pa.Array) -> np.ndarray:
 
 def valid_vectors(vectors: DataFrame, embedding: str = "embedding", row_id: str = "vec_id") -> DataFrame:
     """(id, vec, dim): vec the components as float64 bytes. Rows with a null id, and vectors that are null, empty, zero or
-    hold null or non-finite components are left out; -0.0 counts as 0.0."""
+    hold null or non-finite components are left out; -0.0 counts as 0.0. Components may be as small or large as doubles are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -34,7 +32,7 @@ def valid_vectors(vectors: DataFrame, embedding: str = "embedding", row_id: str
             out_ids, out = [], []
             for k, i in enumerate(ids):
                 x = values[ends[k] - sizes[k] : ends[k]]
-                if i is not None and sizes[k] and np.isfinite(x).all() and x.any() and 0 < x @ x < np.inf:
+                if i is not None and sizes[k] and np.isfinite(x).all() and x.any():
                     out_ids.append(i)
                     out.append(x.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out_ids, pa.int64()), pa.array(out, pa.binary()), pa.array([len(x) // 8 for x in out], pa.int32())], names=["id", "vec", "dim"])
@@ -42,5 +40,18 @@ def valid_vectors(vectors: DataFrame, embedding: str = "embedding", row_id: str
     return vectors.select(F.col(row_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("e")).mapInArrow(run, "id long, vec binary, dim int")
 
 
+def scaled_rows(x: np.ndarray) -> np.ndarray:
+    """Each row by a power of two that brings its largest component to between 1/2 and 1, so squares neither vanish nor overflow.
+    That is exact (but for components that are nothing beside the largest), so a cosine is what it would be without."""
+    _, exponent = np.frexp(np.abs(x).max(axis=1))
+    half = -exponent // 2  # two steps, as 2.0**1074 is no double
+    return np.ldexp(np.ldexp(x, half[:, None]), (-exponent - half)[:, None])
+
+
+def lengths(x: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.einsum("ij,ij->i", x, x))
+
+
 def unit_rows(x: np.ndarray) -> np.ndarray:
-    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    x = scaled_rows(x)
+    return x / lengths(x)[:, None]
