@@ -4,17 +4,30 @@ A text is a space, then the text, with spaces as U+2581; it falls into words, wh
 another character, and at characters that no piece holds, as no piece of such a model reaches over these places (that is
 checked when the model is read). Words of a batch are grouped by length and made distinct; all words of one length
 advance together, one character at a time: for each length of a last piece the substring's hash is looked up in the sorted
-hashes of the pieces, and the best sum of scores so far and the piece that gives it are kept. Ties go to the longer last
-piece. The scores are the model's. A character that no piece holds becomes the byte pieces of its UTF-8 bytes, and so
+hashes of the pieces, and the best sum of scores so far and the piece that gives it are kept.
+
+For a model of type BPE (its scores are the ranks of merges) a piece may only follow one that it is compatible with: merging the
+characters of the two in order of rank must never join characters across the border between them. Pieces that are compatible
+from neighbour to neighbour are what the merges make of a text, so the best path is the model's own segmentation; that is tested against the
+installed library over all documents. Compatibility is found by undoing merges on both sides of the border, the latest first,
+and looking up whether what then meets there would have been merged before. For a unigram model every piece may follow every
+other, and the best path is its segmentation.
+
+Pieces of several spaces have one rank, the last, in such a model: each space starts a word of its own, and single spaces that are left in a row
+are merged afterwards, the leftmost two that can be first.
+
+A character that no piece holds becomes the byte pieces of its UTF-8 bytes, and so
 does a U+2581 in the text itself, so decoding always gives the text back.
 
-For a model of type BPE this is not the merge order's segmentation but the one with the best sum of scores; for a unigram
-model it is the model's own. The tokenizer's file is a parameter and read on the driver; its pieces (some 32,000) go to the
-tasks with the function.
+Words of over LONG characters are cut into overlapping windows that advance together like words. Two windows are joined at a
+border in their overlap where both paths have the same last piece; what follows is then the same as in one piece. Where they have
+none, other starts of the window are tried, and else it is advanced from the last known border. So long words take time in
+proportion to their length.
 
+The tokenizer's file is a parameter and read on the driver; its pieces (some 32,000) go to the tasks with the function.
 Narrow: nothing is shuffled, each text is encoded whole in one task, in slices of bounded size.
 
-Cases: null and empty texts have no tokens; very long words without spaces are advanced as groups of their own; repeated rows give repeated results; an empty
+Cases: null and empty texts have no tokens; repeated rows give repeated results; an empty
 table gives an empty result; other columns are not read.
 """
 
@@ -31,6 +44,7 @@ from flowloom.llm.common import slices, table, text_column, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = 0x2581
+LONG = 1024
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _LITERAL = 0x110000  # stands for a U+2581 of the text
 
@@ -47,13 +61,71 @@ def _hash(codes: np.ndarray) -> np.ndarray:
 class Pieces:
     keys: np.ndarray  # sorted hashes of the pieces
     ids: np.ndarray
-    scores: np.ndarray  # both in the order of keys
-    maybe: np.ndarray  # by the low bits of a hash: whether some piece has these
+    scores: np.ndarray  # these and what follows in the order of keys
+    sizes: np.ndarray  # in characters
+    rank: np.ndarray  # of the merge that makes a piece, -1 for single characters
+    left: np.ndarray  # the two pieces that merge makes a piece of, -1 where there is none
+    right: np.ndarray
+    merges: bool  # a BPE model
+    spaces: dict[int, int]  # of a BPE model: the ids of pieces of so many spaces
+    maybe: np.ndarray  # by the high bits of a hash: whether some piece has these
+    powers: np.ndarray
     longest: int
     known: np.ndarray  # code points that are pieces, sorted
     byte_ids: np.ndarray
     data: np.ndarray  # bytes of all pieces as decoded, and where each starts
     starts: np.ndarray
+    seen: np.ndarray  # pairs of pieces looked at last and whether they are compatible, by a hash of the pair
+    found: np.ndarray
+
+    def lookup(self, h: np.ndarray) -> np.ndarray:
+        """The piece with each hash, -1 where there is none."""
+        out = np.full(len(h), -1, dtype=np.int32)
+        hit = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.keys, h[hit]), len(self.keys) - 1)
+        real = self.keys[at] == h[hit]
+        out[hit[real]] = at[real]
+        return out
+
+    def separate(self, a: np.ndarray, b: np.ndarray, joined: bool = False) -> np.ndarray:
+        """Whether merging the characters of piece a, then piece b joins none across the border; `joined`: but the two pieces."""
+        out = np.ones(len(a), dtype=bool)
+        never = np.iinfo(np.int32).max
+        live, x, y = np.arange(len(a)), a, b
+        x_until, y_until = np.full(len(a), never, dtype=np.int32), np.full(len(a), never, dtype=np.int32)
+        while len(live):
+            # x and y meet at the border until one of them becomes part of a larger piece on its side
+            if not joined:
+                both = self.lookup(self.keys[x] * self.powers[self.sizes[y]] + self.keys[y])
+                merged = np.where(both >= 0, self.rank[both], never)
+                across = (merged < x_until) & (merged <= y_until)  # of equal ranks the merge further left comes first
+                out[live[across]] = False
+                go = ~across
+            else:
+                go = np.ones(len(live), dtype=bool)
+            joined = False
+            go &= (self.rank[x] >= 0) | (self.rank[y] >= 0)
+            live, x, y, x_until, y_until = (z[go] for z in (live, x, y, x_until, y_until))
+            undo_y = self.rank[y] >= self.rank[x]
+            x_until, y_until = np.where(undo_y, x_until, self.rank[x]), np.where(undo_y, self.rank[y], y_until)
+            x, y = np.where(undo_y, x, self.right[x]), np.where(undo_y, self.left[y], y)
+        return out
+
+    def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """separate(), with a memory of the pairs met before."""
+        pair = a.astype(np.int64) * len(self.keys) + b
+        slot = ((pair.astype(np.uint64) * _BASE) >> np.uint64(64 - 18)).astype(np.int64)
+        new = np.flatnonzero(self.seen[slot] != pair)
+        if len(new):
+            _, first = np.unique(pair[new], return_index=True)
+            new = new[first]
+            ok = self.separate(a[new], b[new])
+            self.seen[slot[new]], self.found[slot[new]] = pair[new], ok
+            out = self.found[slot]
+            lost = np.flatnonzero(self.seen[slot] != pair)  # two pairs of this call have one slot
+            out[lost] = self.separate(a[lost], b[lost])
+            return out
+        return self.found[slot]
 
 
 def read_pieces(path: str = MODEL) -> Pieces:
@@ -75,50 +147,92 @@ def read_pieces(path: str = MODEL) -> Pieces:
         raise ValueError("the model has no byte pieces")
     if any("▁" in p.lstrip("▁") or p.startswith("▁▁") and p.strip("▁") for p, _, _ in kept):
         raise ValueError("a piece reaches over the start of a word")
-    hashes = np.array([_hash(np.array([[ord(c) for c in p]]))[0] for p, _, _ in kept], dtype=np.uint64)
+    sizes = np.array([len(p) for p, _, _ in kept])
+    longest = int(sizes.max())
+    codes = np.zeros((len(kept), longest), dtype=np.int64)
+    for k, (p, _, _) in enumerate(kept):
+        codes[k, : len(p)] = [ord(c) for c in p]
+    hashes = np.zeros(len(kept), dtype=np.uint64)
+    for n in range(1, longest + 1):
+        hashes[sizes == n] = _hash(codes[sizes == n, :n])
     order = np.argsort(hashes)
-    keys = hashes[order]
+    keys, sizes, codes = hashes[order], sizes[order], codes[order]
     if (keys[1:] == keys[:-1]).any():
         raise ValueError("two pieces have one hash")
+    scores = np.array([s for _, _, s in kept])[order]
+    blank = np.array([set(p) == {"▁"} for p, _, _ in kept])[order]
+    merged = scores[(sizes > 1) & ~blank]
+    merges = bool((merged == np.round(merged)).all() and len(np.unique(merged)) == len(merged) and (scores[blank & (sizes > 1)] < merged.min(initial=0)).all())
+    spaces = {len(p): k for p, k, _ in kept if set(p) == {"▁"}} if merges else {}
     maybe = np.zeros(1 << 20, dtype=bool)
     maybe[(keys >> np.uint64(44)).astype(np.int64)] = True
     known = np.array(sorted(ord(p) for p, _, _ in kept if len(p) == 1), dtype=np.int64)
-    sizes = np.array([len(x) for x in shown], dtype=np.int64)
-    return Pieces(
-        keys, np.array([k for _, k, _ in kept], dtype=np.int32)[order], np.array([s for _, _, s in kept])[order], maybe, max(len(p) for p, _, _ in kept), known,
-        byte_ids, np.frombuffer(b"".join(shown), dtype=np.uint8), np.concatenate([[0], np.cumsum(sizes)]),
+    ends = np.array([len(x) for x in shown], dtype=np.int64)
+    none = np.full(len(keys), -1, dtype=np.int32)
+    p = Pieces(
+        keys, np.array([k for _, k, _ in kept], dtype=np.int32)[order], scores, sizes, np.where(sizes > 1, -np.round(scores), -1).astype(np.int32), none, none.copy(), merges, spaces, maybe,
+        np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(longest, _BASE)])), longest, known, byte_ids, np.frombuffer(b"".join(shown), dtype=np.uint8),
+        np.concatenate([[0], np.cumsum(ends)]), np.full(1 << 18, -1, dtype=np.int64), np.zeros(1 << 18, dtype=bool),
     )
-
-
-def best_pieces(words: np.ndarray, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """Viterbi on words of one length (a row of code points each): all their piece ids in one array, and how many each has."""
+    if merges:
+        _find_merges(p, codes, blank)
+    return p
+
+
+def _find_merges(p: Pieces, codes: np.ndarray, blank: np.ndarray) -> None:
+    """The last merge of each piece: of the ways to cut it in two pieces, the one whose border no earlier merge crosses."""
+    made = p.sizes == 1
+    for n in range(2, p.longest + 1):
+        at = np.flatnonzero((p.sizes == n) & ~blank)
+        for cut in range(1, n):
+            a, b = p.lookup(_hash(codes[at, :cut])), p.lookup(_hash(codes[at, cut:n]))
+            go = np.flatnonzero((a >= 0) & (b >= 0) & made[a] & made[b])
+            go = go[p.separate(a[go], b[go], joined=True)]
+            p.left[at[go]], p.right[at[go]], made[at[go]] = a[go], b[go], True
+    at = np.flatnonzero(made & (p.sizes > 1))
+    if (np.maximum(p.rank[p.left[at]], p.rank[p.right[at]]) >= p.rank[at]).any():
+        raise ValueError("a merge comes before the ones that it needs")
+
+
+def _advance(words: np.ndarray, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Words of one length (a row of code points each): for every end and word the size and the number of the best path's last piece, 0 and -1 without a path."""
     n, length = words.shape
-    # the least sums and the pieces are kept for the last `longest` ends only, back pointers for all
     best = np.full((length + 1, n), -np.inf)
     best[0] = 0
     prefix = np.zeros((length + 1, n), dtype=np.uint64)
-    size = np.zeros((length + 1, n), dtype=np.int8)
+    size = np.zeros((length + 1, n), dtype=np.int16)
     piece = np.full((length + 1, n), -1, dtype=np.int32)
-    powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(p.longest, _BASE)]))
     for end in range(1, length + 1):
         prefix[end] = prefix[end - 1] * _BASE + words[:, end - 1].astype(np.uint64) + np.uint64(1)
+        rows = np.arange(n)
         for m in range(min(p.longest, end), 0, -1):
-            h = prefix[end] - prefix[end - m] * powers[m]
-            hit = np.flatnonzero(p.maybe[(h >> np.uint64(44)).astype(np.int64)])
-            if not len(hit):
-                continue
-            at = np.minimum(np.searchsorted(p.keys, h[hit]), len(p.keys) - 1)
-            real = p.keys[at] == h[hit]
-            hit, at = hit[real], at[real]
+            at = p.lookup(prefix[end, rows] - prefix[end - m, rows] * p.powers[m])
+            go = at >= 0
+            if p.merges and m > 1:
+                go[go] = p.left[at[go]] >= 0
+            hit, at = rows[go], at[go]
             total = best[end - m, hit] + p.scores[at]
             better = total > best[end, hit]
+            if p.merges and m < end and len(hit):
+                before = piece[end - m, hit]
+                better &= before >= 0
+                better[better] = p.compatible(before[better], at[better])
             hit, at = hit[better], at[better]
-            best[end, hit], size[end, hit], piece[end, hit] = total[better], m, p.ids[at]
+            best[end, hit], size[end, hit], piece[end, hit] = total[better], m, at
+            if p.merges and len(hit):  # there is only one
+                rows = rows[piece[end, rows] < 0]
+    return size, piece
+
+
+def best_pieces(words: np.ndarray, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Viterbi on words of one length: all their piece ids in one array, and how many each has."""
+    n, length = words.shape
+    size, piece = _advance(words, p)
     end = np.full(n, length)
     row = np.arange(n)
     found = []
     while len(row):
-        found.append((row, piece[end, row]))
+        found.append((row, p.ids[piece[end, row]]))
         end = end - size[end, row]
         left = end > 0
         row, end = row[left], end[left]
@@ -130,6 +244,88 @@ def best_pieces(words: np.ndarray, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
     return out, counts
 
 
+def _path(size: list[int], piece: list[int], end: int) -> list[tuple[int, int]]:
+    """Ends and numbers of the pieces of a window's best path to `end`, the first one last."""
+    out = []
+    while end > 0:
+        out.append((end, piece[end]))
+        end -= size[end]
+    return out
+
+
+class _Windows:
+    """The best paths of a long word's windows, made for a group of windows at once when one of them is asked for."""
+
+    def __init__(self, word: np.ndarray, p: Pieces, width: int, overlap: int, group: int = 1024):
+        self.word, self.p, self.width, self.span, self.group = word, p, width, width + overlap, group
+        self.made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.at = -1
+
+    def get(self, start: int, shift: int) -> tuple[list[int], list[int]]:
+        """Sizes and numbers of the last pieces at each end, of the window `shift` characters after start."""
+        if start + shift + self.span > len(self.word):
+            size, piece = _advance(self.word[None, start + shift :], self.p)
+            return size[:, 0].tolist(), piece[:, 0].tolist()
+        k = start // self.width
+        if k // self.group != self.at:
+            self.at, self.made = k // self.group, {}
+        first = self.at * self.group
+        if shift not in self.made:
+            n = min(self.group, (len(self.word) - self.span - shift) // self.width - first + 1)
+            places = (first + np.arange(n)) * self.width + shift
+            self.made[shift] = _advance(self.word[places[:, None] + np.arange(self.span)], self.p)
+        size, piece = self.made[shift]
+        return size[:, k - first].tolist(), piece[:, k - first].tolist()
+
+
+def long_word(word: np.ndarray, p: Pieces, width: int = 256, overlap: int = 64) -> np.ndarray:
+    """The ids of a long word, by windows of width + overlap characters."""
+    starts = list(range(0, max(1, len(word) - overlap), width))
+    windows = _Windows(word, p, width, overlap)
+    out: list[int] = []  # numbers of pieces, up to the last joint
+    at, (size, piece) = 0, windows.get(0, 0)  # where the window in use starts, and its paths
+    joint, joint_piece = 0, -1  # the last joint, and the piece that ends there
+    shifts = list(range(min(p.longest, overlap // 2) + 1))
+
+    def steps_to(end: int) -> list[int] | None:
+        """The pieces of the window's path to `end` after the last joint, if it passes through that, the first piece last."""
+        path = _path(size, piece, end - at)
+        if at and (joint - at, joint_piece) not in path:
+            return None
+        return [k for e, k in path if e + at > joint]
+
+    k = 1
+    while k < len(starts):
+        joined = None
+        for shift in shifts:
+            begin = starts[k] + shift
+            other = windows.get(starts[k], shift)
+            for e, number in _path(*other, len(other[0]) - 1):
+                if begin + e < at + len(size) and piece[begin + e - at] == number and (steps := steps_to(begin + e)) is not None:
+                    joined = begin + e, number, steps
+                    break
+            if joined:
+                shifts.remove(shift)
+                shifts.insert(0, shift)  # a repeated string asks for the same one again
+                break
+        if joined:
+            joint, joint_piece, steps = joined
+            out += reversed(steps)
+            at, (size, piece) = begin, other
+            k += 1
+        else:  # the window in use goes on, twice as long
+            stop = min(len(word), at + 2 * len(size))
+            b, c = _advance(word[None, at:stop], p)
+            size, piece = b[:, 0].tolist(), c[:, 0].tolist()
+            while k < len(starts) and (starts[k] + overlap < stop or stop == len(word)):
+                k += 1
+    steps = steps_to(len(word))
+    if steps is None:  # no joint holds to the end, so the word is advanced as one
+        size, piece = (x[:, 0] for x in _advance(word[None], p))
+        out, steps = [], [k for _, k in _path(size, piece, len(word))]
+    return p.ids[np.array(out + steps[::-1], dtype=np.int64)]
+
+
 def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """data[start : start + size] of all, joined."""
     shift = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
@@ -150,7 +346,7 @@ def encode(texts: list[str], p: Pieces) -> tuple[np.ndarray, np.ndarray]:
     space = codes == SPACE
     edge = np.zeros(len(codes) + 1, dtype=bool)
     edge[starts] = True
-    edge[1:-1] |= space[1:] & ~space[:-1]
+    edge[1:-1] |= space[1:] if p.merges else space[1:] & ~space[:-1]
     edge[:-1] |= unknown
     edge[1:] |= unknown
     word = np.flatnonzero(edge)
@@ -160,7 +356,13 @@ def encode(texts: list[str], p: Pieces) -> tuple[np.ndarray, np.ndarray]:
     odd = unknown[word]
     for size in np.unique(sizes[~odd]):
         at = np.flatnonzero((sizes == size) & ~odd)
-        rows = codes[word[at][:, None] + np.arange(size)] if size < 4096 else np.stack([codes[w : w + size] for w in word[at]])
+        if size > LONG:
+            found = [long_word(codes[w : w + size], p) for w in word[at].tolist()]
+            counts = np.array([len(x) for x in found])
+            n_ids[at] = counts
+            parts.append((at, np.concatenate(found), np.cumsum(counts) - counts))
+            continue
+        rows = codes[word[at][:, None] + np.arange(size)]
         _, first, inverse = np.unique(_hash(rows), return_index=True, return_inverse=True)
         distinct = rows[first]
         if not np.array_equal(distinct[inverse], rows):  # two words of one hash
@@ -182,7 +384,43 @@ def encode(texts: list[str], p: Pieces) -> tuple[np.ndarray, np.ndarray]:
         n = n_ids[at]
         place = np.repeat((ends - n_ids)[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         out[place] = _gather(ids, first, n)
-    return out, np.concatenate([[0], ends])[np.searchsorted(word, starts)]
+    return _spaces_merged(out, np.concatenate([[0], ends])[np.searchsorted(word, starts)], p)
+
+
+def _spaces(n: int, p: Pieces) -> list[int]:
+    """The ids of n spaces in a row."""
+    held: list[int] = []
+    for _ in range(n):
+        held.append(1)
+        while len(held) > 1 and held[-2] + held[-1] in p.spaces:
+            held[-2:] = [held[-2] + held[-1]]
+    return [p.spaces[k] for k in held]
+
+
+def _spaces_merged(ids: np.ndarray, starts: np.ndarray, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' ids with single spaces in a row replaced by pieces of several."""
+    if len(p.spaces) < 2:
+        return ids, starts
+    single = ids == p.spaces[1]
+    inner = np.zeros(len(ids) + 1, dtype=bool)  # of a run of single spaces, but not its first
+    inner[1:-1] = single[1:] & single[:-1]
+    inner[starts] = False
+    run = np.flatnonzero(inner[1:] & single & ~inner[:-1])  # the first of two or more
+    if not len(run):
+        return ids, starts
+    places = np.append(np.flatnonzero(~inner), len(ids))
+    sizes = places[np.searchsorted(places, run) + 1] - run
+    kinds, of = np.unique(sizes, return_inverse=True)
+    table = [np.array(_spaces(n, p), dtype=np.int32) for n in kinds.tolist()]
+    counts = (~inner[:-1]).astype(np.int64)
+    counts[run] = np.array([len(x) for x in table])[of]
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    out = np.empty(int(ends[-1]), dtype=np.int32)
+    out[ends[:-1][~inner[:-1]]] = ids[~inner[:-1]]
+    data, first = np.concatenate(table), np.cumsum([0, *map(len, table)])
+    n = counts[run]
+    out[np.repeat(ends[run] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] = _gather(data, first[of], n)
+    return out, ends[starts]
 
 
 def decode(ids: np.ndarray, starts: np.ndarray, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
