@@ -29,9 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the session names none, as in tests."""
+    """The folder that all executors share. Only a local session that names none, as in tests, gets one of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="flowloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -80,3 +82,10 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20)
 def bounded_broadcast(df: DataFrame, most: int = 200_000) -> DataFrame:
     """A broadcast hint only where a count proves that df is small; otherwise the join shuffles. For tables that are cheap to count."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def one_text_each(docs: DataFrame, sample: DataFrame, text: str = "text") -> DataFrame:
+    """sample (doc_id, ...: few rows, one for each doc_id) with a text of that document in column text: of several the one with the smallest
+    hash, so a doc_id that very many rows share is one row. Ids without a document are left out."""
+    texts = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(sample.select("doc_id")), "doc_id")
+    return texts.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).join(F.broadcast(sample), "doc_id").select("doc_id", F.col("t.text").alias("text"), *[c for c in sample.columns if c != "doc_id"])

@@ -1,23 +1,24 @@
 """Toxicity: a linear classifier over character n-grams whose features are scaled by naive Bayes log-count ratios.
 
 Texts are lower-cased, and each white-space or ASCII punctuation character counts as a space. The n-grams of SIZES
-characters (code points), spaces included, are hashed to 2**BITS buckets. A bucket's ratio is
-log((p + 1) / (P + 2)) - log((q + 1) / (Q + 2)), with p of P toxic and q of Q other labelled texts that hold it. The
-KEEP buckets that tell most between the classes are features: 0, or the ratio where the text holds the bucket. A logistic
-regression on these gives the score.
+characters (code points), spaces included, are hashed to 2**BITS buckets. With p of P toxic and q of Q other labelled texts that
+hold a bucket, its ratio is log((p + P / (P + Q)) / P) - log((q + Q / (P + Q)) / Q), 0 for what no text holds, brought nearer to 0 by
+SURE of its standard errors, so that a bucket that few texts hold has no say, but any number of buckets may have one. A bucket is a
+feature: 0, or the ratio where the text holds it. A logistic regression on these, penalised by the squares of its weights, gives the score.
 
 Fit: on at most PER_CLASS labelled rows of each class, those with the smallest hashes of doc_id (a documented sample; all
-rows where there are fewer). Counts are combined in each task, then by bucket. What comes to the driver is bounded: KEEP
-buckets, and the features of the sample. Scoring reads every whole text once, without a shuffle.
+rows where there are fewer). The buckets of these texts stay in a table; each step of the regression (L-BFGS) is a job of at most TASKS tasks
+over it, each of which sends its part of the slope, 2**BITS numbers, to the driver. Scoring reads every whole text once, without a shuffle.
 
-Cases: null and empty texts have no n-grams and score by the intercept; a doc_id labelled twice takes its larger label;
-rows with null labels don't teach; without labelled rows of both classes every score is the share of toxic labels (0
-without any); repeated rows score alike; other columns are not read.
+Cases: null and empty texts have no n-grams but the one of two spaces that every text has, and score by it and the intercept; a doc_id labelled twice takes its
+larger label; a doc_id with several texts teaches by one of them (the smallest hash); rows with null labels don't teach; a
+null doc_id is held out; without labelled rows of both classes every score is the share of toxic labels (0 without any);
+repeated rows score alike; other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import slices, table, text_column, written
+from flowloom.llm.common import one_text_each, slices, table, text_column, written
 
 SIZES = (3, 4, 5, 6)
 BITS = 20
-KEEP = 2048
-PER_CLASS = 8000
+PER_CLASS = 4000
+SURE = 2.0
+TASKS = 8
 
 _SPACED = np.arange(128, dtype=np.uint32)
 _SPACED[[k for k in range(128) if not chr(k).isalnum()]] = 32
@@ -58,14 +60,21 @@ def gram_buckets(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
     return found, starts
 
 
-def _held(found: list[np.ndarray], a: int, b: int) -> np.ndarray:
-    both = np.unique(np.concatenate([x[a:b] for x in found]))
-    return both[1:] if len(both) and both[0] < 0 else both
+def held_buckets(texts: list[str]) -> Iterator[np.ndarray]:
+    """The different buckets that each text holds, in no order."""
+    found, starts = gram_buckets(texts)
+    last = np.empty((1 << BITS) + 1, dtype=np.int32)  # of each bucket the last place; the last one is for those over a text's end
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        own = np.concatenate([x[a:b] for x in found])
+        place = np.arange(len(own), dtype=np.int32)
+        last[own] = place
+        last[-1] = -1
+        yield own[last[own] == place]
 
 
 def is_training(folds: int, held_out: int) -> Column:
-    """Whether crc32 of doc_id as text leaves another remainder than that of the rows held out."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != held_out
+    """Whether crc32 of doc_id as text leaves another remainder than that of the rows held out; a null doc_id is held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != held_out, F.lit(False))
 
 
 def labelled_sample(labels: DataFrame, label: str, training: Column, per_class: int) -> DataFrame:
@@ -78,94 +87,125 @@ def labelled_sample(labels: DataFrame, label: str, training: Column, per_class:
 
 @dataclass
 class Model:
-    buckets: np.ndarray
-    weights: np.ndarray
+    weights: np.ndarray  # of all buckets
     intercept: float
 
-    def table(self) -> np.ndarray:
-        out = np.zeros(1 << BITS, dtype=np.float32)
-        out[self.buckets] = self.weights
-        return out
-
 
 def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_logistic(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray, n_features: int, penalty: float = 1e-4, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """L2-penalised logistic regression on sparse rows, by accelerated gradient steps."""
-    n = len(y)
-    squared = np.bincount(row, weights=value**2, minlength=n)
-    step = 1 / (0.25 * (squared.mean() + 1) + penalty) * 2
-    w = v = np.zeros(n_features)
-    b = c = 0.0
-    for k in range(rounds):
-        error = logistic(np.bincount(row, weights=value * v[col], minlength=n) + c) - y
-        slope = np.bincount(col, weights=value * error[row], minlength=n_features) / n + penalty * v
-        w_new, b_new = v - step * slope, c - step * error.mean()
-        v, c = w_new + k / (k + 3) * (w_new - w), b_new + k / (k + 3) * (b_new - b)
-        w, b = w_new, b_new
-    return w, float(b)
-
+def _summed(rows: DataFrame, add: Callable[[np.ndarray, pa.RecordBatch], None], size: int) -> np.ndarray:
+    """The sum over all tasks of the vector of `size` numbers to which `add` adds what a batch gives."""
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, training: Column, text: str = "text", per_class: int = PER_CLASS, keep: int = KEEP) -> Model:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            add(total, batch)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+
+    parts = rows.coalesce(TASKS).mapInArrow(run, "part binary").collect()
+    return np.sum([np.frombuffer(r["part"]) for r in parts], axis=0) if parts else np.zeros(size)
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """(y, buckets) of each row."""
+    lists = batch.column(1)
+    offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+    for k, y in enumerate(batch.column(0).to_pylist()):
+        yield y, values[offsets[k] : offsets[k + 1]]
+
+
+def count_classes(total: np.ndarray, batch: pa.RecordBatch) -> None:
+    """Rows of either class that hold each bucket, those of class 1 after those of class 0; then the rows of either class."""
+    for y, held in _rows(batch):
+        total[held + (y << BITS)] += 1
+        total[(2 << BITS) + y] += 1
+
+
+def loss_of(weights: np.ndarray, intercept: float) -> Callable[[np.ndarray, pa.RecordBatch], None]:
+    """The sum of errors over the rows that hold each bucket, then over all rows, then the sum of losses."""
+
+    def add(total: np.ndarray, batch: pa.RecordBatch) -> None:
+        for y, held in _rows(batch):
+            margin = float(weights[held].sum(dtype=np.float64)) + intercept
+            error = float(logistic(np.float64(margin))) - y
+            total[held] += error
+            total[1 << BITS] += error
+            total[(1 << BITS) + 1] += np.logaddexp(0, margin if not y else -margin)
+
+    return add
+
+
+def class_ratios(p: np.ndarray, q: np.ndarray, n_p: float, n_q: float, sure: float = SURE) -> np.ndarray:
+    """The log-count ratio of each bucket, nearer to 0 by `sure` standard errors."""
+    p, q = p + n_p / (n_p + n_q), q + n_q / (n_p + n_q)
+    ratio = np.log(p / n_p) - np.log(q / n_q)
+    return np.sign(ratio) * np.maximum(np.abs(ratio) - sure * np.sqrt(1 / p + 1 / q), 0)
+
+
+def least(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, calls: int, held: int = 6) -> np.ndarray:
+    """L-BFGS: where f (value and slope) is least, after at most `calls` calls of it. Steps are halved until they gain enough."""
+    value, slope = f(x)
+    calls -= 1
+    steps: list[tuple[np.ndarray, np.ndarray]] = []  # steps taken, and what they changed in the slope
+    while calls > 0 and np.abs(slope).max() > 1e-7:
+        way, shares = -slope, []
+        for s, d in reversed(steps):
+            shares.append((s @ way) / (s @ d))
+            way = way - shares[-1] * d
+        way = way * ((steps[-1][0] @ steps[-1][1]) / (steps[-1][1] @ steps[-1][1]) if steps else 1 / max(1.0, np.sqrt(slope @ slope)))
+        for (s, d), share in zip(steps, reversed(shares)):
+            way = way + (share - (d @ way) / (s @ d)) * s
+        size, gain = 1.0, slope @ way
+        while calls > 0:
+            new_value, new_slope = f(x + size * way)
+            calls -= 1
+            if new_value <= value + 1e-4 * size * gain:
+                break
+            size /= 2
+        else:
+            return x
+        s, d = size * way, new_slope - slope
+        x, value, slope = x + s, new_value, new_slope
+        if s @ d > 1e-12:
+            steps = [*steps, (s, d)][-held:]
+    return x
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str, training: Column, text: str = "text", per_class: int = PER_CLASS, calls: int = 24, penalty: float = 1e-4) -> Model:
     sample = labelled_sample(labels, label, training, per_class)
-    taught = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(sample), "doc_id").select("text", "y")
-    taught = written(taught, "toxicity-sample")
-    sizes = {r["y"]: r["count"] for r in taught.groupBy("y").count().collect()}
-    if not sizes.get(0) or not sizes.get(1):
-        share = sizes.get(1, 0) / max(1, sum(sizes.values()))
-        return Model(np.zeros(0, np.int64), np.zeros(0), 30.0 * (2 * share - 1) if share in (0, 1) else float(np.log(share / (1 - share))))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((2, 1 << BITS), dtype=np.int64)
-        for batch in slices(batches, "text"):
-            found, starts = gram_buckets(text_column(batch, "text").to_pylist())
-            for k, y in enumerate(batch.column(1).to_pylist()):
-                seen[y, _held(found, starts[k], starts[k + 1])] += 1
-        at = np.flatnonzero(seen.any(axis=0))
-        for a in range(0, len(at), 1 << 16):
-            part = at[a : a + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(seen[0, part]), pa.array(seen[1, part])], names=["bucket", "q", "p"])
-
-    counts = taught.mapInArrow(count, "bucket int, q long, p long").groupBy("bucket").agg(F.sum("q").alias("q"), F.sum("p").alias("p"))
-    n_q, n_p = float(sizes[0]), float(sizes[1])
-    rate = (F.col("p") + F.col("q") + 1) / (n_p + n_q + 2)
-    tells = F.abs(F.col("p") / n_p - F.col("q") / n_q) / F.sqrt(rate * (1 - rate) * (1 / n_p + 1 / n_q))
-    best = counts.orderBy(tells.desc(), "bucket").limit(keep).toPandas()
-    buckets = best["bucket"].to_numpy().astype(np.int64)
-    ratio = np.log((best["p"].to_numpy() + 1) / (n_p + 2)) - np.log((best["q"].to_numpy() + 1) / (n_q + 2))
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = np.full(1 << BITS, -1, dtype=np.int32)
-        place[buckets] = np.arange(len(buckets))
+    taught = one_text_each(docs, sample, text).select("y", "text")
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            found, starts = gram_buckets(text_column(batch, "text").to_pylist())
-            rows = [place[_held(found, starts[k], starts[k + 1])] for k in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x[x >= 0] for x in rows], pa.list_(pa.int32()))], names=["y", "at"])
+            lists = list(held_buckets(text_column(batch, "text").to_pylist()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(lists, pa.list_(pa.int32()))], names=["y", "at"])
+
+    rows = written(taught.mapInArrow(held, "y int, at array<int>"), "toxicity-sample")
+    counts = _summed(rows, count_classes, (2 << BITS) + 2)
+    n_q, n_p = counts[-2:]
+    if not n_q or not n_p:
+        share = n_p / max(1, n_p + n_q)
+        return Model(np.zeros(1 << BITS, dtype=np.float32), 30.0 * (2 * share - 1) if share in (0, 1) else float(np.log(share / (1 - share))))
+    ratio = class_ratios(counts[1 << BITS : 2 << BITS], counts[: 1 << BITS], n_p, n_q)
+
+    def risk(x: np.ndarray) -> tuple[float, np.ndarray]:
+        w = x[:-1]
+        sums = _summed(rows, loss_of((w * ratio).astype(np.float32), float(x[-1])), (1 << BITS) + 2) / (n_p + n_q)
+        return sums[-1] + penalty / 2 * (w @ w), np.append(ratio * sums[:-2] + penalty * w, sums[-2])
 
-    rows = taught.mapInArrow(features, "y int, at array<int>").toPandas()
-    held = rows["at"].map(len).to_numpy()
-    col = np.concatenate(rows["at"].to_list()).astype(np.int64)
-    row = np.repeat(np.arange(len(rows)), held)
-    w, b = fit_logistic(row, col, ratio[col], rows["y"].to_numpy().astype(float), len(buckets))
-    return Model(buckets, w * ratio, b)
+    x = least(risk, np.zeros((1 << BITS) + 1), calls)
+    return Model((x[:-1] * ratio).astype(np.float32), float(x[-1]))
 
 
 def scores(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
     """doc_id and the score of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = model.table()
-        for batch in slices(batches, text, 2 << 20):
-            found, starts = gram_buckets(text_column(batch, text).to_pylist())
-            keys = []
-            for x in found:
-                at = np.flatnonzero((weights[x] != 0) & (x >= 0))
-                keys.append((np.searchsorted(starts, at, side="right") - 1) << BITS | x[at])
-            keys = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-            total = np.bincount(keys >> BITS, weights=weights[keys & ((1 << BITS) - 1)].astype(np.float64), minlength=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array(logistic(total + model.intercept))], names=["doc_id", into])
+        for batch in slices(batches, text):
+            sums = [model.weights[held].sum(dtype=np.float64) for held in held_buckets(text_column(batch, text).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array(logistic(np.array(sums) + model.intercept))], names=["doc_id", into])
 
     return docs.select("doc_id", text).mapInArrow(run, f"doc_id long, `{into}` double")
 
