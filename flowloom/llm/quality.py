@@ -1,7 +1,8 @@
 """Quality classifier by positive-unlabelled learning.
 
-Features: FEATURES figures of a whole text (shares of kinds of bytes, words, repeats, lines); see text_features. Model: a
-small network on the standardised features. Risk: the non-negative unbiased one,
+Features of a whole text (text_features): SHAPE figures of its form (shares of kinds of bytes, words, repeats, lines), and what it
+says: its words, and its strings of GRAM bytes, each hashed to WORD_BUCKETS and GRAM_BUCKETS sums with a sign of the hash (A-Z lower-cased),
+over the square root of their number. Model: a small network on the standardised features. Risk: the non-negative unbiased one,
     prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)),
 with sigmoid loss, minimised with Adam; while the second term is under 0, a step goes against it. Positives are documents
 with label 1, unlabelled are documents of any kind, whose labels aren't looked at. Labels 0 are never used. The class prior
@@ -9,13 +10,13 @@ is estimated: a first network is taught to tell half of the positives from half
 the least ratio, over all thresholds, of the shares of unlabelled and of positives above it bounds the prior (with a
 margin for the sizes of these shares).
 
-Fit: at most N_POSITIVE trusted positives and N_UNLABELLED unlabelled rows, those with the smallest hashes of doc_id (a
-documented sample; all where there are fewer). Only their features come to the driver. Scoring reads every whole text
-once, without a shuffle.
+Fit: at most N_POSITIVE trusted positives and N_UNLABELLED unlabelled documents, those with the smallest hashes of doc_id (a
+documented sample; all where there are fewer). Only their features come to the driver, one row for each doc_id. Scoring reads every
+whole text once, without a shuffle.
 
-Cases: null and empty texts have all figures 0 and score like any text; a doc_id labelled twice counts as positive if one
-label is 1; rows with null labels don't teach; without positives or unlabelled rows every score is 0.5; repeated rows
-score alike; other columns are not read.
+Cases: null and empty texts have all features 0 and score like any text; a doc_id labelled twice counts as positive if one
+label is 1; a doc_id with several texts teaches by one of them (the smallest hash); rows with null labels don't teach; a null
+doc_id is held out; without positives or unlabelled rows every score is 0.5; repeated rows score alike; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import slices, table, text_column, utf8, written
-from flowloom.llm.toxicity import is_training
-from flowloom.llm.words import NOT_SPACE, word_hashes, word_spans
+from flowloom.llm.common import one_text_each, slices, table, text_column, utf8, written
+from flowloom.llm.toxicity import is_training, logistic
+from flowloom.llm.words import NOT_SPACE, lowered, word_hashes, word_spans
 
-N_POSITIVE, N_UNLABELLED = 8000, 12000
+N_POSITIVE, N_UNLABELLED = 6000, 9000
+WORD_BUCKETS, GRAM_BUCKETS, GRAM = 192, 192, 4
 
 _KINDS = 10
 
@@ -65,10 +67,41 @@ def _kinds() -> np.ndarray:
 
 
 KINDS = _kinds()
-FEATURES = _KINDS + 8
+SHAPE = _KINDS + 8
+FEATURES = SHAPE + WORD_BUCKETS + GRAM_BUCKETS
+
+
+def signed_sums(doc: np.ndarray, h: np.ndarray, n: int, buckets: int) -> np.ndarray:
+    """For each text and bucket the sum of signs of the hashes in it, over the square root of the text's hashes. A hash's low bits are the bucket, the highest one its sign."""
+    signs = 1.0 - 2.0 * (h >> np.uint64(63)).astype(np.float64)
+    sums = np.bincount(doc * buckets + (h % np.uint64(buckets)).astype(np.int64), weights=signs, minlength=n * buckets).reshape(n, buckets)
+    return sums / np.sqrt(np.maximum(np.bincount(doc, minlength=n), 1))[:, None]
+
+
+def gram_hashes(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The text and a 64-bit hash of each string of GRAM bytes."""
+    size = max(0, len(low) - GRAM + 1)
+    code = np.zeros(size, dtype=np.uint64)
+    for k in range(GRAM):
+        code = code << np.uint64(8) | low[k : k + size].astype(np.uint64)
+    h = (code + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    inside = doc[:size] == doc[len(doc) - size :]
+    return doc[:size][inside], h[inside]
 
 
 def text_features(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A row for each text: its shape, then signed sums of its words and of its strings of GRAM bytes."""
+    n = len(offsets) - 1
+    low = lowered(raw)
+    starts, ends, doc = word_spans(raw, offsets, NOT_SPACE)
+    said = signed_sums(doc, word_hashes(low, starts, ends), n, WORD_BUCKETS)
+    return np.hstack([shape_features(raw, offsets), said, signed_sums(*gram_hashes(low, offsets), n, GRAM_BUCKETS)])
+
+
+def shape_features(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A row for each text: shares of bytes by kind; log of words; mean and spread of their lengths; shares of words equal
     to the one before, of words seen before, of words that start upper-case, of pairs seen before; log of words a line."""
     n = len(offsets) - 1
@@ -108,21 +141,50 @@ class Model:
     w2: np.ndarray
     b2: float
 
-    def margins(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -8, 8)
+    def standard(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -8, 8)
+
+    def of_standard(self, z: np.ndarray) -> np.ndarray:
         return np.maximum(z @ self.w1 + self.b1, 0) @ self.w2 + self.b2
 
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        return self.of_standard(self.standard(x))
+
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.margins(x), -30, 30)))
+        return logistic(self.margins(x))
+
+
+def risk_parts(p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float]:
+    """Of scores p of positives and u of unlabelled: the risk on positives, and the one on negatives, which the risk takes from 0 on. The loss of a score s is 1 - s as a positive, s as a negative."""
+    return prior * (1 - p).mean(), u.mean() - prior * p.mean()
+
+
+def slopes(p: np.ndarray, u: np.ndarray, prior: float | None) -> np.ndarray:
+    """What a step goes along, by margin, of positives and then unlabelled: the slope of the risk, or, while the risk on negatives is under 0,
+    minus that risk's own. prior None: of the logistic loss of positives against unlabelled."""
+    if prior is None:
+        return np.concatenate([(p - 1) / len(p), u / len(u)])
+    dp, du = p * (1 - p) / len(p), u * (1 - u) / len(u)
+    if risk_parts(p, u, prior)[1] >= 0:
+        return np.concatenate([-2 * prior * dp, du])
+    return np.concatenate([prior * dp, -du])
+
+
+def weight_slopes(m: Model, z: np.ndarray, slope: np.ndarray) -> dict[str, np.ndarray | float]:
+    """Of each weight, from the slopes by margin of standardised rows."""
+    active = z @ m.w1 + m.b1
+    h = np.maximum(active, 0)
+    back = np.outer(slope, m.w2) * (active > 0)
+    return {"w1": z.T @ back, "b1": back.sum(axis=0), "w2": h.T @ slope, "b2": slope.sum()}
 
 
-def fit_network(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, seed: int = 5, hidden: int = 24, rounds: int = 60, batches: int = 24, rate: float = 3e-3, decay: float = 1e-4) -> Model:
+def fit_network(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, seed: int = 5, hidden: int = 24, rounds: int = 40, batches: int = 24, rate: float = 3e-3, decay: float = 1e-3) -> Model:
     """prior None: plain logistic loss of positives against unlabelled, for estimating the prior."""
     rng = np.random.default_rng(seed)
     everything = np.concatenate([positive, unlabelled])
     m = Model(everything.mean(axis=0), everything.std(axis=0) + 1e-6, rng.normal(0, (2 / positive.shape[1]) ** 0.5, (positive.shape[1], hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, hidden), 0.0)
-    zp, zu = (np.clip((x - m.mean) / m.scale, -8, 8) for x in (positive, unlabelled))
-    moments = [[np.zeros_like(np.asarray(x, dtype=float)) for x in (m.w1, m.b1, m.w2, m.b2)] for _ in range(2)]
+    zp, zu = m.standard(positive), m.standard(unlabelled)
+    first, second = ({k: np.zeros_like(np.asarray(getattr(m, k), dtype=float)) for k in ("w1", "b1", "w2", "b2")} for _ in range(2))
     step = 0
     for _ in range(rounds):
         parts = zip(np.array_split(rng.permutation(len(zp)), batches), np.array_split(rng.permutation(len(zu)), batches))
@@ -130,27 +192,13 @@ def fit_network(positive: np.ndarray, unlabelled: np.ndarray, prior: float | Non
             if not len(ip) or not len(iu):
                 continue
             z = np.concatenate([zp[ip], zu[iu]])
-            active = z @ m.w1 + m.b1
-            h = np.maximum(active, 0)
-            g = np.clip(h @ m.w2 + m.b2, -30, 30)
-            s = 1 / (1 + np.exp(-g))
-            p, u = s[: len(ip)], s[len(ip) :]
-            slope = np.empty(len(z))
-            if prior is None:
-                slope[: len(ip)], slope[len(ip) :] = (p - 1) / len(ip), u / len(iu)
-            else:
-                dp, du = p * (1 - p) / len(ip), u * (1 - u) / len(iu)
-                if u.mean() - prior * p.mean() >= 0:
-                    slope[: len(ip)], slope[len(ip) :] = -2 * prior * dp, du
-                else:
-                    slope[: len(ip)], slope[len(ip) :] = prior * dp, -du
-            back = np.outer(slope, m.w2) * (active > 0)
+            s = logistic(m.of_standard(z))
             step += 1
-            for k, (name, grad) in enumerate((("w1", z.T @ back), ("b1", back.sum(axis=0)), ("w2", h.T @ slope), ("b2", slope.sum()))):
+            for name, grad in weight_slopes(m, z, slopes(s[: len(ip)], s[len(ip) :], prior)).items():
                 grad = grad + decay * getattr(m, name)
-                moments[0][k] = 0.9 * moments[0][k] + 0.1 * grad
-                moments[1][k] = 0.999 * moments[1][k] + 0.001 * grad**2
-                setattr(m, name, getattr(m, name) - rate * (moments[0][k] / (1 - 0.9**step)) / (np.sqrt(moments[1][k] / (1 - 0.999**step)) + 1e-8))
+                first[name] = 0.9 * first[name] + 0.1 * grad
+                second[name] = 0.999 * second[name] + 0.001 * grad**2
+                setattr(m, name, getattr(m, name) - rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8))
     return m
 
 
@@ -174,19 +222,18 @@ def featured(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
             x = text_features(*utf8(text_column(batch, text)))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array(list(x.astype(np.float32)), pa.list_(pa.float32()))], names=["doc_id", "x"])
 
-    return docs.select("doc_id", text).mapInArrow(run, "doc_id long, x array<double>")
+    return docs.select("doc_id", text).mapInArrow(run, "doc_id long, x array<float>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, training: Column, text: str = "text", n_positive: int = N_POSITIVE, n_unlabelled: int = N_UNLABELLED) -> Model | None:
     order = (F.xxhash64(F.lit(13), "doc_id"), F.col("doc_id"))
-    positive = labels.where(training & (F.col(label) > 0) & F.col("doc_id").isNotNull()).select("doc_id").orderBy(*order).limit(n_positive).distinct()
-    other = docs.where(training & F.col("doc_id").isNotNull()).select("doc_id").orderBy(*order).limit(n_unlabelled).distinct()
+    positive = labels.where(training & (F.col(label) > 0) & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(*order).limit(n_positive)
+    other = docs.where(training & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(*order).limit(n_unlabelled)
     sample = positive.withColumn("p", F.lit(1)).unionByName(other.withColumn("p", F.lit(0))).groupBy("doc_id").agg(F.max("p").alias("p"), (F.min("p") == 0).alias("u"))
     sample = written(sample, "quality-sample")
-    texts = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(sample.select("doc_id")), "doc_id")
-    rows = featured(texts).join(F.broadcast(sample), "doc_id").toPandas().sort_values("doc_id", kind="stable")
+    rows = featured(one_text_each(docs, sample.select("doc_id"), text)).join(F.broadcast(sample), "doc_id").toPandas().sort_values("doc_id", kind="stable")
     if not len(rows):
         return None
     x = np.stack(rows["x"].to_list())
