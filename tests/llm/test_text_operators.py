@@ -149,6 +149,14 @@ def test_tokens_round_trip(spark, sf_dir, edge):
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
+def common_sequence(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
 def brute_scan(text):
     low = bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode())
     words, places, base = WORD.findall(low), [], set()
@@ -157,19 +165,40 @@ def brute_scan(text):
         hits = [i for i in range(len(words) - len(q) + 1) if words[i : i + len(q)] == q]
         places += hits
         base |= {label} if hits else set()
-    labels, score = set(base), 0.0
+    paragraph, of = 0, []
     for line in low.split(b"\n"):
-        block, met = set(WORD.findall(line)), []
-        for label, template in licenses.TEMPLATES:
-            t = set(WORD.findall(template.lower().encode()))
-            share = len(block & t) / len(t)
-            if share >= (1 if len(t) < licenses.SHORT else licenses.THRESHOLD) - 1e-12:
-                met.append((len(block & t), label, share))
-        for overlap, label, share in met:
-            if overlap == max(met)[0]:
-                labels.add(label)
-                score = max(score, share)
-    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 if places else score
+        found = WORD.findall(line)
+        paragraph += not found
+        of += [paragraph] * len(found)
+    matches = []
+    for label, template in licenses.TEMPLATES:
+        t = WORD.findall(template.lower().encode())
+        sites = []
+        least = min(n for n in range(1, len(set(t)) + 1) if n >= licenses.THRESHOLD * len(set(t)) - 1e-9)
+        for a, w in enumerate(words):
+            if w in t:
+                block = [k for k in range(a, min(len(words), a + 2 * len(t))) if of[k] == of[a] and words[k] in t]
+                met = {words[k] for k in block}
+                if len(met) >= least:
+                    last = next(k for k in block if {words[j] for j in block if j <= k} == met)
+                    own = [words[k] for k in block if k <= last]
+                    sites.append((-len(met), last - a, a, last, frozenset(met), common_sequence(own, t) >= least))
+        taken = []
+        for site in sorted(sites, key=lambda x: x[:4]):
+            if all(site[2] > o[3] or o[2] > site[3] for o in taken):
+                taken.append(site)
+        matches += [(label, template, a, b, met, len(met) / len(set(t)), straight) for _, _, a, b, met, straight in taken]
+
+    def beats(x, y):
+        if x[1] == y[1] or x[2] > y[3] or y[2] > x[3]:
+            return False
+        return x[6] if x[6] != y[6] else y[4] < x[4] or y[4] == x[4] and x[5] > y[5]
+
+    shown = [m for m in matches if not any(beats(o, m) for o in matches)]
+    labels = base | {m[0] for m in shown}
+    score = 1.0 if places else max((m[5] for m in shown), default=0.0)
+    every = sorted((m[0], m[5]) for m in matches)
+    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, every
 
 
 def test_licenses_match_brute_force(spark, sf_dir, edge):
@@ -178,7 +207,7 @@ def test_licenses_match_brute_force(spark, sf_dir, edge):
     for df in (made, edge.where("doc_id is not null").dropDuplicates(["doc_id"]), spark.read.parquet(f"{sf_dir}/documents.parquet")):
         texts_of = {r["doc_id"]: r["text"] for r in df.select("doc_id", "text").collect()}
         for r in licenses.scan(df).collect():
-            assert tuple(r)[1:8] == brute_scan(texts_of[r["doc_id"]])
+            assert (*tuple(r)[1:8], sorted((m["label"], m["containment"]) for m in r["matches"])) == brute_scan(texts_of[r["doc_id"]])
     assert licenses.scan(edge).count() == len(EDGE) and licenses.scan(edge.limit(0)).count() == 0
 
 
