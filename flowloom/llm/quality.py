@@ -142,7 +142,7 @@ class Model:
     b2: float
 
     def standard(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -8, 8)
+        return np.clip((x - self.mean.astype(x.dtype)) / self.scale.astype(x.dtype), -8, 8)
 
     def of_standard(self, z: np.ndarray) -> np.ndarray:
         return np.maximum(z @ self.w1 + self.b1, 0) @ self.w2 + self.b2
@@ -182,7 +182,7 @@ def fit_network(positive: np.ndarray, unlabelled: np.ndarray, prior: float | Non
     """prior None: plain logistic loss of positives against unlabelled, for estimating the prior."""
     rng = np.random.default_rng(seed)
     everything = np.concatenate([positive, unlabelled])
-    m = Model(everything.mean(axis=0), everything.std(axis=0) + 1e-6, rng.normal(0, (2 / positive.shape[1]) ** 0.5, (positive.shape[1], hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, hidden), 0.0)
+    m = Model(everything.mean(axis=0, dtype=np.float64), everything.std(axis=0, dtype=np.float64) + 1e-6, rng.normal(0, (2 / positive.shape[1]) ** 0.5, (positive.shape[1], hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, hidden), 0.0)
     zp, zu = m.standard(positive), m.standard(unlabelled)
     first, second = ({k: np.zeros_like(np.asarray(getattr(m, k), dtype=float)) for k in ("w1", "b1", "w2", "b2")} for _ in range(2))
     step = 0
@@ -217,14 +217,14 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 
 
 def featured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id and the features of every whole text."""
+    """doc_id and the features of every whole text, as the bytes of single-precision numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
             x = text_features(*utf8(text_column(batch, text)))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array(list(x.astype(np.float32)), pa.list_(pa.float32()))], names=["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array([row.tobytes() for row in x.astype("<f4")], pa.binary())], names=["doc_id", "x"])
 
-    return docs.select("doc_id", text).mapInArrow(run, "doc_id long, x array<float>")
+    return docs.select("doc_id", text).mapInArrow(run, "doc_id long, x binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, training: Column, text: str = "text", n_positive: int = N_POSITIVE, n_unlabelled: int = N_UNLABELLED) -> Model | None:
@@ -233,11 +233,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, training: Column, text:
     other = docs.where(training & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(*order).limit(n_unlabelled)
     sample = positive.withColumn("p", F.lit(1)).unionByName(other.withColumn("p", F.lit(0))).groupBy("doc_id").agg(F.max("p").alias("p"), (F.min("p") == 0).alias("u"))
     sample = written(sample, "quality-sample")
-    rows = featured(one_text_each(docs, sample.select("doc_id"), text)).join(F.broadcast(sample), "doc_id").toPandas().sort_values("doc_id", kind="stable")
-    if not len(rows):
-        return None
-    x = np.stack(rows["x"].to_list())
-    p, u = x[rows["p"].to_numpy() == 1], x[rows["u"].to_numpy()]
+    rows = featured(one_text_each(docs, sample.select("doc_id"), text)).join(F.broadcast(sample), "doc_id").collect()  # a row for each id of the sample at most
+    rows.sort(key=lambda r: r["doc_id"])
+    x = np.frombuffer(b"".join(r["x"] for r in rows), dtype="<f4").reshape(len(rows), FEATURES)
+    p, u = (x[np.array([bool(r[k]) for r in rows], dtype=bool)] for k in "pu")
     if not len(p) or not len(u):
         return None
     shuffled = np.random.default_rng(3)

@@ -101,7 +101,7 @@ def plain_features(text):
 
 def test_features_match_a_plain_version(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
-    got = {r["doc_id"]: r["x"] for r in quality.featured(df).collect()}
+    got = {r["doc_id"]: np.frombuffer(r["x"], dtype="<f4") for r in quality.featured(df).collect()}
     for k, t in enumerate(TEXTS):
         assert np.allclose(got[k], plain_features(t), atol=1e-5), t
 
