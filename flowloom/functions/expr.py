@@ -5,10 +5,13 @@ Objects are maps or structs; arrays are typed. What would be an error is null. W
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 Fn = Callable[[Column], Column]
 
@@ -124,8 +127,9 @@ def code_points(s: Column) -> Column:
 
 
 def from_code_points(codes: Column) -> Column:
-    """implode, for code points of the basic plane."""
-    return F.array_join(F.transform(codes, lambda k: F.decode(F.unhex(F.lpad(F.hex(k), 4, "0")), "UTF-16BE")), "")
+    """implode; null where a number is no character."""
+    good = F.forall(codes, lambda k: k.between(0, 0xD7FF) | k.between(0xE000, 0x10FFFF))
+    return F.when(good, F.array_join(F.transform(codes, lambda k: F.decode(F.unhex(F.lpad(F.hex(k), 8, "0")), "UTF-32")), ""))
 
 
 def type_name(c: Column) -> Column:
@@ -133,3 +137,65 @@ def type_name(c: Column) -> Column:
     text = F.to_json(c)
     start = F.substring(text, 1, 1)
     return F.when(c.isNull() | F.is_variant_null(c), "null").when(text.isin("true", "false"), "boolean").when(start == '"', "string").when(start == "[", "array").when(start == "{", "object").otherwise("number")
+
+
+def flattened(values: Column) -> Column:
+    """flatten(1): one level of arrays in an array; null elements are left out."""
+    return F.flatten(F.filter(values, lambda x: x.isNotNull()))
+
+
+def nth(values: Column, k: int) -> Column:
+    """The k-th value from 0; null for a negative k or where there is none."""
+    return F.get(values, F.lit(k)) if k >= 0 else F.get(values, F.size(values))
+
+
+def last_of(values: Column) -> Column:
+    return F.try_element_at(values, F.lit(-1))
+
+
+def inside(a: Column, b: Column) -> Column:
+    """Whether b contains a: text in a text."""
+    return F.contains(b, a)
+
+
+def within(key: Column, m: Column) -> Column:
+    """in: whether an object has the key."""
+    return F.map_contains_key(m, key)
+
+
+def until(start: Column, done: Fn, step: Fn, most: int) -> Column:
+    """The first of start, step(start), ... for which `done` holds; null if it is none of the first `most` steps."""
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, lambda x, _: F.when(F.coalesce(done(x), F.lit(False)), x).otherwise(step(x)))
+    return F.when(done(found), found)
+
+
+def to_json_text(c: Column) -> Column:
+    """tojson, of a VARIANT."""
+    return F.when(c.isNull() | F.is_variant_null(c), "null").otherwise(F.to_json(c))
+
+
+def from_json_text(text: Column) -> Column:
+    """fromjson: a VARIANT; null for what is no JSON."""
+    return F.try_parse_json(text)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def value_paths(texts: pd.Series) -> pd.Series:
+    """paths: of a JSON text all places below it, each as its keys and indexes joined by dots, parents before children. `..` is the text and what lies there."""
+
+    def below(value, at: str) -> Iterator[str]:
+        rows = value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else ()
+        for key, child in rows:
+            path = f"{at}.{key}" if at else str(key)
+            yield path
+            yield from below(child, path)
+
+    def places(t: str | None) -> list[str] | None:
+        if t is None:
+            return None
+        try:
+            return list(below(json.loads(t), ""))
+        except ValueError:
+            return None
+
+    return texts.map(places)

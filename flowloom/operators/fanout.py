@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import ArrayType
 
+from flowloom.functions.values import at_path
 from flowloom.operators.items import ORD, positions
 from flowloom.sources.staging import staged
 
@@ -26,6 +28,16 @@ def scatter(items: DataFrame, lanes: int | None, *order: str) -> DataFrame:
     return out.withColumn("lane_count", F.ceil(F.col("_n") / F.col("_size")).cast("long")).drop("_at", "_n", "_size")
 
 
+def scatter_path(items: DataFrame, column: str, path: str, lanes: int | None = None, into: str = "value") -> DataFrame:
+    """Lanes over the array at a path of the first item, each element an item of its own; what is no array gives one lane, of the items as they are."""
+    first = items.orderBy(ORD).limit(1)
+    value = at_path(F.col(column), path, items.schema[column].dataType)
+    if not isinstance(first.select(value.alias("v")).schema["v"].dataType, ArrayType):
+        return items.withColumn("lane", F.lit(0).cast("long")).withColumn("lane_count", F.lit(1).cast("long"))
+    made = first.where(value.isNotNull()).select(F.posexplode(value).alias(ORD, into))
+    return scatter(made.withColumn(ORD, F.col(ORD).cast("long")), lanes)
+
+
 def gather(lanes: DataFrame, failed: Column, message: Column, on_error: str = "collect") -> DataFrame:
     """Items of all lanes; paired with their lane. A failed lane is one row that tells so (collect), is left out (skip), or
     raises (fail_fast, the lowest lane)."""
@@ -53,6 +65,38 @@ def gate(tickets: DataFrame, results: DataFrame, key: str) -> DataFrame:
     return tickets.join(results.withColumn("done", F.lit(True)), key, "left").withColumn("done", F.coalesce("done", F.lit(False)))
 
 
+def spawn(items: DataFrame, prefix: str = "ticket") -> DataFrame:
+    """A ticket for each item, named by its place, so that a repeated task names the same one."""
+    return items.withColumn("ticket", F.concat(F.lit(f"{prefix}-"), F.col(ORD).cast("string")))
+
+
+def released(tickets: DataFrame, results: DataFrame, key: str, group: list[str], policy: str, spent: Column, n: int = 1) -> DataFrame:
+    """A gate over groups of tickets: every ticket with its result, how many of its group have come and were expected, and the group's port: emit,
+    wait or timeout by `policy`. Where a group is emitted before all have come, tickets without a result are left out."""
+    joined = gate(tickets, results, key)
+    counts = joined.groupBy(*group).agg(F.count_if("done").alias("arrived"), F.count(F.lit(1)).alias("expected"), F.bool_or(F.coalesce(spent, F.lit(False))).alias("_spent"))
+    port = release(policy, F.col("arrived"), F.col("expected"), F.col("_spent"), n)
+    out = joined.join(counts.withColumn("port", port).drop("_spent"), group)
+    return out.where((F.col("port") != "emit") | F.col("done"))
+
+
+def approval_gate(gates: DataFrame, approvals: DataFrame, denials: DataFrame, error_ports: DataFrame, key: str = "id") -> DataFrame:
+    """The port of each node that requires an approval: a denial goes to `error` where the node has such a port and fails the run where it has none,
+    an id in the list of approvals goes on by `main`, any other node is `paused`. A denial counts before an approval."""
+    marked = lambda df, name: df.select(key).distinct().withColumn(name, F.lit(True))
+    out = gates.join(marked(approvals, "_yes"), key, "left").join(marked(denials, "_no"), key, "left").join(marked(error_ports, "_error"), key, "left")
+    port = F.when(F.col("_no"), F.when(F.col("_error"), "error").otherwise("failed")).when(F.col("_yes"), "main").otherwise("paused")
+    return out.withColumn("port", port).drop("_yes", "_no", "_error")
+
+
+def decided_item(requests: DataFrame, decisions: DataFrame, key: str = "request_id") -> DataFrame:
+    """Each settled request (subject, subject_kind, input) with its decision (approved, payload, decided_by, comment): the subject is the reviewer's edit
+    where there is one, and the input stays beside it."""
+    joined = requests.join(decisions, key)
+    subject = F.coalesce(F.col("payload"), F.col("subject"))
+    return joined.select("approved", subject.alias("subject"), "subject_kind", F.col("payload").isNotNull().alias("edited"), "decided_by", "comment", key, "input")
+
+
 def approval_port(decision: Column, waited: Column, most: int) -> Column:
     """approved or rejected by an explicit decision; without one waiting, then timeout."""
     return F.when(decision.isNull(), F.when(waited >= most, "timeout").otherwise("waiting")).when(decision, "approved").otherwise("rejected")
@@ -74,22 +118,44 @@ def new_keys(items: DataFrame, key: Column) -> DataFrame:
     return items.select(key.cast("string").alias("key")).where("key is not null and key <> ''").distinct()
 
 
-def loop(state: DataFrame, body: Callable[[DataFrame], DataFrame], until: Column, most: int = 25, on_exceeded: str = "continue", every: int = 4) -> DataFrame:
-    """Runs `body` on the rows for which `until` doesn't hold yet, `most` times at most; columns iteration and exit_reason.
-    Rows that are done aren't touched again, and lineage is cut every few rounds."""
+def loop(
+    state: DataFrame,
+    body: Callable[[DataFrame], DataFrame],
+    until: Column,
+    most: int = 25,
+    on_exceeded: str = "continue",
+    every: int = 4,
+    condition: Column | None = None,
+    fold: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """Runs `body` on the rows that go on; columns iteration and exit_reason. Before each pass a row ends if `until` holds, else if
+    `condition` doesn't, else after `most` passes. After each pass `fold` sets accumulator columns, all from the state as the body left it,
+    before the tests. Rows that are done aren't touched again: every few rounds the new ones are written, and lineage is cut."""
     going = state.withColumn("iteration", F.lit(0).cast("long"))
-    done = None
+    stop = F.coalesce(until, F.lit(False))
+    halt = F.lit(False) if condition is None else ~F.coalesce(condition, F.lit(False))
+    written: list[DataFrame] = []
+    fresh: list[DataFrame] = []
+
+    def all_done() -> DataFrame:
+        return reduce(DataFrame.unionByName, written + fresh)
+
     for k in range(most + 1):
-        ended = going.where(F.coalesce(until, F.lit(False))).withColumn("exit_reason", F.lit("until"))
-        done = ended if done is None else done.unionByName(ended)
-        going = going.where(~F.coalesce(until, F.lit(False)))
+        fresh.append(going.where(stop | halt).withColumn("exit_reason", F.when(stop, "until").otherwise("condition")))
+        going = going.where(~(stop | halt))
         if k == most:
             break
-        going = body(going).withColumn("iteration", F.lit(k + 1).cast("long"))
+        going = body(going)
+        if fold:
+            going = going.withColumns(dict(fold))
+        going = going.withColumn("iteration", F.lit(k + 1).cast("long"))
         if k % every == every - 1:
-            going, done = staged(going, "loop"), staged(done, "loop-done")
+            going = staged(going, "loop")
+            written.append(staged(reduce(DataFrame.unionByName, fresh), "loop-done"))
+            fresh.clear()
             if going.isEmpty():
-                return done
+                return all_done()
+    done = all_done()
     if on_exceeded == "error":
         return done.unionByName(going.withColumn("exit_reason", F.raise_error(F.lit(f"over {most} iterations")).cast("string")))
     return done.unionByName(going.withColumn("exit_reason", F.lit("max_iterations")))
@@ -127,5 +193,6 @@ def fan_in(parts: DataFrame, key: str, into: str = "arrived") -> DataFrame:
 
 
 def latest_per(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order))))
-    return ranked.where("_rank = 1").drop("_rank")
+    """Of each key the row with the greatest order; combined in each task before the shuffle."""
+    row = F.struct(*[c for c in df.columns if c not in keys])
+    return df.groupBy(*keys).agg(F.max_by(row, order).alias("_row")).select(*keys, "_row.*").select(*df.columns)

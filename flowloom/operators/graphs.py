@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +38,36 @@ def reachable(edges: DataFrame, most: int | None = None) -> DataFrame:
     return pairs
 
 
-def on_cycle(edges: DataFrame, most: int | None = None) -> DataFrame:
-    return reachable(edges, most).where(F.col("src") == F.col("dst")).select(F.col("src").alias("node"))
+def reached(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """Nodes with a path of one edge or more from a node of start, each once, by a frontier."""
+    seen = front = staged(edges.join(start.select(F.col("node").alias("src")).distinct(), "src", "left_semi").select(F.col("dst").alias("node")).distinct(), "reached")
+    while not front.isEmpty():
+        step = edges.join(front.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        front = staged(step.join(seen, "node", "left_anti"), "reached-front")
+        seen = staged(seen.unionByName(front), "reached")
+    return seen
+
+
+def turned(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
+def cyclic_part(edges: DataFrame) -> DataFrame:
+    """The edges that are left when edges from nodes that none leads to, or to nodes that none leaves, are taken out until there are none such:
+    those on cycles and on paths between them."""
+    left = staged(edges.select("src", "dst").distinct(), "cyclic")
+    n = left.count()
+    while n:
+        inner = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        left = staged(inner.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "cyclic")
+        was, n = n, left.count()
+        if n == was:
+            break
+    return left
+
+
+def on_cycle(edges: DataFrame) -> DataFrame:
+    return reachable(cyclic_part(edges)).where(F.col("src") == F.col("dst")).select(F.col("src").alias("node"))
 
 
 def duplicate_ids(nodes: DataFrame) -> DataFrame:
@@ -63,10 +93,9 @@ def merges_on_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.where("kind = 'merge'").join(on_cycle(edges).withColumnRenamed("node", "id"), "id", "left_semi")
 
 
-def edited_above(edges: DataFrame, edited: DataFrame, failed: DataFrame, most: int | None = None) -> DataFrame:
+def edited_above(edges: DataFrame, edited: DataFrame, failed: DataFrame) -> DataFrame:
     """Failed nodes that an edited node lies above of, or is; where there is none, a run may continue."""
-    above = reachable(edges, most).join(edited.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node"))
-    return failed.join(above.unionByName(edited.select("node")).distinct(), "node", "left_semi")
+    return failed.join(reached(edges, edited).unionByName(edited.select("node")).distinct(), "node", "left_semi")
 
 
 def add_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
@@ -106,34 +135,46 @@ def duplicate_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst", "port").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
 
 
-def unbounded_cycles(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+def unbounded_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes on a cycle that no loop node lies on: they reach themselves, and no loop node both ways."""
-    pairs = reachable(edges, most)
+    pairs = reachable(cyclic_part(edges))
     loops = nodes.where("kind = 'loop'").select(F.col("id").alias("dst"))
     there = pairs.join(loops, "dst", "left_semi")
-    both = there.join(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi").select(F.col("src").alias("node"))
+    both = there.join(turned(pairs), ["src", "dst"], "left_semi").select(F.col("src").alias("node"))
     return pairs.where("src = dst").select(F.col("src").alias("node")).join(both, "node", "left_anti")
 
 
-def ungathered(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+def ungathered(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Scatter nodes from which no gather node is reached."""
-    gathers = nodes.where("kind = 'gather'").select(F.col("id").alias("dst"))
-    closed = reachable(edges, most).join(gathers, "dst", "left_semi").select(F.col("src").alias("id"))
+    closed = reached(turned(edges), nodes.where("kind = 'gather'").select(F.col("id").alias("node"))).select(F.col("node").alias("id"))
     return nodes.where("kind = 'scatter'").join(closed, "id", "left_anti")
 
 
-def nested_scatters(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
-    """Pairs of scatter nodes of which the first reaches the second before any gather: edges out of gathers don't count."""
-    gathers = nodes.where("kind = 'gather'").select(F.col("id").alias("src"))
-    inside = reachable(edges.join(gathers, "src", "left_anti"), most)
-    scatters = nodes.where("kind = 'scatter'")
-    return inside.join(scatters.select(F.col("id").alias("src")), "src", "left_semi").join(scatters.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
-
-
-def upstream(edges: DataFrame, nodes: DataFrame, start: DataFrame, kind: str, most: int = 64) -> DataFrame:
-    """For each start node the nearest node of a kind above it (the smallest id of equally near ones)."""
-    from flowloom.operators.state import ancestors
-
-    reached = ancestors(start, edges.select(F.col("dst").alias("node"), F.col("src").alias("parent")), "node", "parent", most).where("depth > 0")
-    found = reached.join(nodes.where(F.col("kind") == kind).select(F.col("id").alias("node")), "node", "left_semi")
-    return found.groupBy("origin").agg(F.min(F.struct("depth", "node")).alias("_m")).select(F.col("origin").alias("node"), F.col("_m.node").alias("above"), F.col("_m.depth").alias("depth"))
+def nested_scatters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Pairs of scatter nodes of which the first reaches the second before any gather: edges out of gathers don't count. A frontier for each scatter node."""
+    gathers, scatters = nodes.where("kind = 'gather'").select(F.col("id").alias("src")), nodes.where("kind = 'scatter'")
+    inside = staged(edges.select("src", "dst").distinct().join(gathers, "src", "left_anti"), "inside")
+    front = seen = staged(inside.join(scatters.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("src").alias("origin"), F.col("dst").alias("node")), "nested")
+    while not front.isEmpty():
+        step = front.join(inside, front.node == inside.src).select("origin", F.col("dst").alias("node")).distinct()
+        front = staged(step.join(seen, ["origin", "node"], "left_anti"), "nested-front")
+        seen = staged(seen.unionByName(front), "nested")
+    return seen.join(scatters.select(F.col("id").alias("node")), "node", "left_semi").select(F.col("origin").alias("src"), F.col("node").alias("dst"))
+
+
+def upstream(edges: DataFrame, nodes: DataFrame, start: DataFrame, kind: str) -> DataFrame:
+    """For each start node the nearest node of a kind above it (the smallest id of equally near ones). A start node goes up until it finds one or
+    meets no new node."""
+    wanted = nodes.where(F.col("kind") == kind).select(F.col("id").alias("node"))
+    up = staged(edges.select("src", "dst").distinct(), "up")
+    front = seen = staged(start.select(F.col("node").alias("origin"), "node").distinct(), "upstream")
+    found: list[DataFrame] = []
+    while not front.isEmpty():
+        step = front.join(up, front.node == up.dst).select("origin", F.col("src").alias("node")).distinct()
+        front = staged(step.join(seen, ["origin", "node"], "left_anti"), "upstream-front")
+        here = front.join(wanted, "node", "left_semi").groupBy("origin").agg(F.min("node").alias("above"))
+        found.append(staged(here.withColumn("depth", F.lit(len(found) + 1).cast("long")), "upstream-found"))
+        seen = staged(seen.unionByName(front), "upstream")
+        front = front.join(found[-1].select("origin"), "origin", "left_anti")
+    every = reduce(DataFrame.unionByName, found) if found else start.select(F.col("node").alias("origin"), F.col("node").alias("above"), F.lit(0).cast("long").alias("depth")).limit(0)
+    return every.select(F.col("origin").alias("node"), "above", "depth")

@@ -6,7 +6,7 @@ An item's order is the column ORD, a key that is unique and stable (from the sou
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -127,3 +127,15 @@ def validated(items: DataFrame, schema: dict, columns: list[str], on_error: str
     if on_error == "fail":
         out = out.where(F.when(~F.col("valid"), F.raise_error(F.col("errors")[0]).cast("boolean")).otherwise(F.lit(True)))
     return out
+
+
+def auto_fixed(items: DataFrame, schema: dict, columns: list[str], fix: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """`validated`, with one try to repair: rows that breach the schema go through `fix` (a node that gives the same columns back; it sees `errors`, and
+    sources.tables.call_each makes one of a model's call) and are validated once more. `fixed` tells which were repaired; what still
+    breaches it keeps its errors. Without `fix` nothing is tried."""
+    first = validated(items, schema, columns)
+    if fix is None:
+        return first.withColumn("fixed", F.lit(False))
+    first = staged(first, "validated")
+    again = validated(fix(first.where(~F.col("valid"))).select(*items.columns), schema, columns)
+    return first.where("valid").withColumn("fixed", F.lit(False)).unionByName(again.withColumn("fixed", F.col("valid")))

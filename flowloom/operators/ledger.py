@@ -48,8 +48,8 @@ def visible(rows: DataFrame, scope: str, column: str = "scope_key") -> DataFrame
 
 
 def layered_override(rows: DataFrame, key: str, layer: str) -> DataFrame:
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(layer))))
-    return ranked.where("_rank = 1").drop("_rank")
+    row = F.struct(*[c for c in rows.columns if c != key])
+    return rows.groupBy(key).agg(F.max_by(row, layer).alias("_row")).select(key, "_row.*").select(*rows.columns)
 
 
 def newest(rows: DataFrame, scope: list[str], *order: Column, keep: int) -> DataFrame:
@@ -63,10 +63,10 @@ def narrowed(limits: DataFrame, a: str, b: str, into: str) -> DataFrame:
 
 
 def granted(tools: DataFrame, grants: DataFrame, tool: str, pattern: str) -> DataFrame:
-    """Tools that a grant covers: the same name, or a prefix with a trailing .* ; grants are few and broadcast."""
+    """Tools that a grant covers: the same name, or a prefix with a trailing .* ; grants are broadcast where a count shows that they are few."""
     prefix = F.regexp_extract(pattern, r"^(.*)\.\*$", 1)
     covers = (F.col(tool) == F.col(pattern)) | (F.col(pattern).endswith(".*") & F.startswith(F.col(tool), prefix))
-    return tools.join(F.broadcast(grants), covers, "left_semi")
+    return tools.join(F.broadcast(grants) if grants.limit(10_001).count() <= 10_000 else grants, covers, "left_semi")
 
 
 def outcome(satisfied: Column, verified: Column) -> Column:

@@ -88,11 +88,14 @@ def deep_merged(current: pd.Series, new: pd.Series) -> pd.Series:
     import json
 
     def merge(a, b):
-        if isinstance(b, dict) and set(b) == {"$replace"}:
+        if not isinstance(b, dict):
+            return b
+        if set(b) == {"$replace"}:
             return b["$replace"]
-        if isinstance(a, dict) and isinstance(b, dict):
-            return {**a, **{k: merge(a.get(k), v) for k, v in b.items()}}
-        return b
+        out = dict(a) if isinstance(a, dict) else {}  # what is new is walked too, so that no $replace in it stays
+        for k, v in b.items():
+            out[k] = merge(out.get(k), v)
+        return out
 
     return pd.Series([json.dumps(merge(json.loads(a or "null"), json.loads(b)), sort_keys=True) if b is not None else a for a, b in zip(current, new)])
 
@@ -209,12 +212,40 @@ def forked(checkpoints: DataFrame, node: str, parent: str, source, new_id, chang
     return checkpoints.unionByName(child.select(*checkpoints.columns))
 
 
-def retained_notes(notes: DataFrame, scope: str, node: str, superseded_by: str, pinned: str, keep: int, most: int = 16) -> DataFrame:
-    """Groups of notes that supersede each other stay or go together: the groups with the newest last notes stay until they
-    hold `keep` notes; a group with a pinned note always stays."""
-    top = ancestors(notes, notes, node, superseded_by, most).groupBy("origin").agg(F.max_by("node", "depth").alias("group"))
-    grouped = notes.join(top, notes[node] == top.origin).drop("origin")
-    sizes = grouped.groupBy(scope, "group").agg(F.count(F.lit(1)).alias("n"), F.bool_or(pinned).alias("_pinned"))
-    before = F.sum("n").over(Window.partitionBy(scope).orderBy(F.desc("group")))
-    kept = sizes.withColumn("_so_far", before).where((F.col("_so_far") <= keep) | F.col("_pinned"))
-    return grouped.join(kept.select(scope, "group"), [scope, "group"], "left_semi").drop("group")
+def chain_groups(notes: DataFrame, node: str, superseded_by: str) -> DataFrame:
+    """(node, group): notes that supersede each other, however long the chain, have one group, named by its last note (of a cycle by the
+    least). What is known over k steps gives what lies over 2 k; a note that isn't there ends a chain."""
+    ids = notes.select(F.col(node).alias("node"))
+    links = notes.select(F.col(node).alias("node"), F.col(superseded_by).alias("to")).where(F.col("to").isNotNull()).join(ids.withColumnRenamed("node", "to"), "to", "left_semi")
+    ways = staged(ids.join(links, "node", "left").select("node", F.coalesce("to", "node").alias("to")).withColumn("least", F.col("to")), "chains")
+    n, steps = ways.count(), 1
+    while steps <= n:
+        ahead = ways.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("least").alias("_least"))
+        moved = staged(ways.join(ahead, "to").select("node", "to", F.col("_to"), F.least("least", "_least").alias("least")), "chains")
+        done = moved.where(F.col("to") != F.col("_to")).isEmpty()
+        ways, steps = moved.select("node", F.col("_to").alias("to"), "least"), 2 * steps
+        if done:
+            break
+    return ways.join(ways.select(F.col("node").alias("to"), F.col("least").alias("group")), "to").select("node", "group")
+
+
+def retained_notes(notes: DataFrame, scope: str, node: str, superseded_by: str, pinned: str, keep: int) -> DataFrame:
+    """Of a scope with more than `keep` notes the groups with the oldest notes go, until no more than `keep` are left or only groups with a
+    pinned note are; notes that supersede each other stay or go together."""
+    groups = chain_groups(notes, node, superseded_by)
+    grouped = staged(notes.join(groups, notes[node] == groups.node).drop(groups.node), "notes")
+    sizes = grouped.groupBy(scope, "group").agg(F.count(F.lit(1)).alias("n"), F.bool_or(pinned).alias("_pinned"), F.min(node).alias("_oldest"))
+    over = grouped.groupBy(scope).agg((F.count(F.lit(1)) - keep).alias("_over"))
+    before = F.sum("n").over(Window.partitionBy(scope).orderBy("_oldest")) - F.col("n")
+    gone = sizes.where(~F.col("_pinned")).withColumn("_before", before).join(over, scope).where(F.col("_before") < F.col("_over"))
+    return grouped.join(gone.select(scope, "group"), [scope, "group"], "left_anti").drop("group")
+
+
+def failure_boundary(checkpoints: DataFrame, thread: str, seq: str = "seq") -> DataFrame:
+    """Of each thread whose newest checkpoint tells a failed node: that node, the error, the checkpoint, its step and the nodes that were to
+    come. checkpoints has checkpoint_id, metadata (JSON text) and next_nodes; a thread that was interrupted or has ended has no row."""
+    newest = latest_checkpoint(checkpoints, [thread], seq)
+    of = lambda name: F.get_json_object("metadata", f"$.{name}")
+    step = F.coalesce(of("step").try_cast("long"), F.lit(0).cast("long"))
+    found = newest.select(thread, of("failed_node").alias("failed_node"), F.coalesce(of("error"), F.lit("")).alias("error"), "checkpoint_id", step.alias("step"), F.col("next_nodes").alias("pending"))
+    return found.where(F.col("failed_node").isNotNull())

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowloom.plans import decision_queries, flow_queries, more_queries, state_queries, stream_queries  # noqa: F401  they register their queries
+from flowloom.plans import decision_queries, flow_queries, more_queries, rule_queries, state_queries, stream_queries  # noqa: F401  they register their queries
 from flowloom.plans.registry import QUERIES, SQL
 
 

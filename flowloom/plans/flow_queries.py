@@ -307,7 +307,7 @@ def expr_path_index(spark: SparkSession, d: str) -> DataFrame:
 (SELECT l_orderkey, sum(round(l_extendedprice, 2)) AS t, count(*) FILTER (WHERE l_quantity > 25) AS n FROM lineitem GROUP BY ALL) ON l_orderkey = o_orderkey""")
 def expr_add_map_select(spark: SparkSession, d: str) -> DataFrame:
     o = order_lines(spark, d)
-    return o.select("ord", F.round(V.total(F.col("lines.price")), 2).alias("total"), F.size(F.filter("lines", lambda x: x["qty"] > 25)).cast(L).alias("n"))
+    return o.select("ord", F.round(V.total(F.col("lines.price"), DoubleType()), 2).alias("total"), F.size(F.filter("lines", lambda x: x["qty"] > 25)).cast(L).alias("n"))
 
 
 @query("""SELECT o_orderkey AS ord, coalesce(a, false) AS any_returned, coalesce(b, true) AS all_big, f AS first_big FROM orders LEFT JOIN
@@ -335,13 +335,13 @@ def expr_if_concat(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH v AS (SELECT event_id AS ord, CASE event_id % 6 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 4 ELSE 5 END AS k, value, event_type, user_id FROM events)
-SELECT ord, row_number() OVER (PARTITION BY user_id ORDER BY k, CASE WHEN k = 3 THEN value END, CASE WHEN k = 4 THEN event_type END, ord) AS place FROM v""")
+SELECT ord, row_number() OVER (PARTITION BY user_id ORDER BY k, CASE WHEN k = 3 THEN value END, CASE WHEN k = 4 THEN CASE WHEN ord % 4 = 0 THEN event_type || ' x' ELSE event_type END END, CASE WHEN k = 5 THEN ord % 100 END, ord) AS place FROM v""")
 def expr_order_types(spark: SparkSession, d: str) -> DataFrame:
     """null < false < true < numbers < strings < arrays, on values of mixed types."""
     from pyspark.sql.window import Window
 
     k = F.col("event_id") % 6
-    text = F.when(k == 0, "null").when(k == 1, "false").when(k == 2, "true").when(k == 3, F.col("value").cast("string")).when(k == 4, F.concat(F.lit('"'), F.col("event_type"), F.lit('"'))).otherwise("[]")
+    text = F.when(k == 0, "null").when(k == 1, "false").when(k == 2, "true").when(k == 3, F.col("value").cast("string")).when(k == 4, F.concat(F.lit('"'), F.col("event_type"), F.when(F.col("event_id") % 4 == 0, ' x"').otherwise('"'))).otherwise(F.concat(F.lit("["), (F.col("event_id") % 100).cast("string"), F.lit("]")))
     e = events(spark, d).withColumn("key", V.order_key(F.parse_json(text)))
     return e.select("ord", F.row_number().over(Window.partitionBy("user_id").orderBy("key", "ord")).cast(L).alias("place"))
 
@@ -351,7 +351,8 @@ def graph_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).select("ord", F.md5(F.concat("event_type", F.lit(":"), F.col("user_id").cast("string")).cast("binary")).alias("tag"), F.sha2("props", 256).alias("fingerprint"))
 
 
-@query()
+@query("""SELECT event_id AS ord, lower(printf('%016x', CAST(h AS UBIGINT))) AS digest FROM (SELECT event_id, list_reduce(list_prepend(CAST(14695981039346656037 AS HUGEINT), list_transform(string_split(props, ''), lambda c: CAST(unicode(c) AS HUGEINT))),
+lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616) AS h FROM events)""")
 def fnv_digest(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).select("ord", V.fnv1a64("props").alias("digest"))
 

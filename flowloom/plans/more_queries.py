@@ -111,18 +111,19 @@ def store_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 _NOTES = """WITH RECURSIVE n AS (SELECT o_custkey AS author, o_orderkey AS id, CASE WHEN o_orderkey % 3 <> 0 THEN lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) END AS next, o_totalprice > 495000 AS pinned FROM orders),
 u AS (SELECT id, id AS top FROM n UNION ALL SELECT u.id, n.next FROM u JOIN n ON n.id = u.top WHERE n.next IS NOT NULL), g AS (SELECT id, max(top) AS grp FROM u GROUP BY id),
-s AS (SELECT author, grp, count(*) AS k, bool_or(pinned) AS p FROM n JOIN g USING (id) GROUP BY author, grp),
-r AS (SELECT *, sum(k) OVER (PARTITION BY author ORDER BY grp DESC) AS so_far FROM s)
+s AS (SELECT author, grp, count(*) AS k, bool_or(pinned) AS p, min(id) AS oldest FROM n JOIN g USING (id) GROUP BY author, grp),
+r AS (SELECT author, grp, sum(k) OVER (PARTITION BY author ORDER BY oldest) - k AS before FROM s WHERE NOT p),
+x AS (SELECT author, grp FROM r WHERE before < (SELECT count(*) FROM n m WHERE m.author = r.author) - 6)
 """
 
 
-@query(_NOTES + "SELECT n.author, n.id FROM n JOIN g USING (id) JOIN r ON r.author = n.author AND r.grp = g.grp WHERE so_far <= 6 OR p")
+@query(_NOTES + "SELECT n.author, n.id FROM n JOIN g USING (id) WHERE (n.author, g.grp) NOT IN (SELECT author, grp FROM x)")
 def notes_retained(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql.window import Window
 
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("author"), F.col("o_orderkey").alias("id"), (F.col("o_totalprice") > 495000).alias("pinned"))
     o = o.withColumn("next", F.when(F.col("id") % 3 != 0, F.lead("id").over(Window.partitionBy("author").orderBy("id"))))
-    return state.retained_notes(o, "author", "id", "next", "pinned", 6, 40).select("author", "id")
+    return state.retained_notes(o, "author", "id", "next", "pinned", 6).select("author", "id")
 
 
 @query("""SELECT o_custkey, count(DISTINCT o_orderstatus) AS arrived, count(DISTINCT o_orderstatus) = 3 AS complete FROM orders GROUP BY o_custkey""")

@@ -91,12 +91,14 @@ def reduce_custom_fold(spark: SparkSession, d: str) -> DataFrame:
     return state.folded(writes(spark, d), ["user_id"], F.lit(7).cast(L), lambda a, x: (a * 31 + x) % 1000003, "k")
 
 
-@query()
+@query("""WITH w AS (SELECT user_id, arg_min(event_type, event_id) AS n, arg_min(json_extract(props, '$.k'), event_id) AS k, arg_max(event_type, event_id) AS m, arg_max(round(value), event_id) AS v FROM events GROUP BY user_id)
+SELECT user_id, CASE WHEN m = 'error' THEN '{"a": {"k": ' || k || ', "name": "' || n || '"}, "name": "error", "z": {"w": 5}}' ELSE '{"a": {"k": ' || k || ', "name": "' || m || '", "v": ' || CAST(v AS BIGINT) || '}}' END AS merged FROM w""")
 def reduce_deep_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Each user's last event merged into the first; the event type of errors replaces the whole."""
-    w = writes(spark, d).groupBy("user_id").agg(F.min_by(F.struct("name", "k"), "seq").alias("a"), F.max_by(F.struct("name", "value"), "seq").alias("b"))
-    new = F.when(F.col("b.name") == "error", F.to_json(F.struct(F.struct(F.col("b.name").alias("$replace")).alias("name")))).otherwise(F.to_json("b"))
-    return w.select("user_id", state.deep_merged(F.to_json("a"), new).alias("merged"))
+    """Each user's last event merged into the first, one level down; errors replace what isn't there yet, at any depth."""
+    w = writes(spark, d).groupBy("user_id").agg(F.min_by(F.struct("name", "k"), "seq").alias("a"), F.max_by(F.struct("name", F.round("value").cast("long").alias("v")), "seq").alias("b"))
+    named = F.struct(F.struct(F.col("b.name").alias("$replace")).alias("name"), F.struct(F.struct(F.lit(5).alias("$replace")).alias("w")).alias("z"))
+    new = F.when(F.col("b.name") == "error", F.to_json(named)).otherwise(F.to_json(F.struct(F.col("b").alias("a"))))
+    return w.select("user_id", state.deep_merged(F.to_json(F.struct("a")), new).alias("merged"))
 
 
 @query("""SELECT user_id, '{"name": "' || arg_min(event_type, event_id) || '"}' AS merged FROM events GROUP BY user_id""")

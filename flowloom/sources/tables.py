@@ -8,7 +8,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-from pyspark.sql.window import Window
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,8 +46,8 @@ def void(df: DataFrame, path: str | None = None) -> int:
 
 def latest_documents(df: DataFrame, key: str, order: str) -> DataFrame:
     """Upsert: of each key the row with the greatest order."""
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order))))
-    return ranked.where("_rank = 1").drop("_rank")
+    row = F.struct(*[c for c in df.columns if c != key])
+    return df.groupBy(key).agg(F.max_by(row, order).alias("_row")).select(key, "_row.*").select(*df.columns)
 
 
 def call_each(df: DataFrame, call: Callable[[dict], str | None], column: str = "response", on_error: str = "collect") -> DataFrame:
