@@ -7,8 +7,8 @@ SURE of its standard errors, so that a bucket that few texts hold has no say, bu
 feature: 0, or the ratio where the text holds it. A logistic regression on these, penalised by the squares of its weights, gives the score.
 
 Fit: on at most PER_CLASS labelled rows of each class, those with the smallest hashes of doc_id (a documented sample; all
-rows where there are fewer). The buckets of these texts stay in a table; each step of the regression (L-BFGS) is a job of at most TASKS tasks
-over it, each of which sends its part of the slope, 2**BITS numbers, to the driver. Scoring reads every whole text once, without a shuffle.
+rows where there are fewer). What these texts hold of the buckets with a ratio stays in a table; each step of the regression (L-BFGS) is a job of at most
+TASKS tasks over it, each of which sends its part of the slope, a number for each such bucket, to the driver. Scoring reads every whole text once, without a shuffle.
 
 Cases: null and empty texts have no n-grams but the one of two spaces that every text has, and score by it and the intercept; a doc_id labelled twice takes its
 larger label; a doc_id with several texts teaches by one of them (the smallest hash); rows with null labels don't teach; a
@@ -95,17 +95,17 @@ def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _summed(rows: DataFrame, add: Callable[[np.ndarray, pa.RecordBatch], None], size: int) -> np.ndarray:
+def _summed(rows: DataFrame, add: Callable[[np.ndarray, pa.RecordBatch], None], size: int, kind: str = "<f8") -> np.ndarray:
     """The sum over all tasks of the vector of `size` numbers to which `add` adds what a batch gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size)
+        total = np.zeros(size, dtype=kind)
         for batch in batches:
             add(total, batch)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
 
     parts = rows.coalesce(TASKS).mapInArrow(run, "part binary").collect()
-    return np.sum([np.frombuffer(r["part"]) for r in parts], axis=0) if parts else np.zeros(size)
+    return np.sum([np.frombuffer(r["part"], dtype=kind) for r in parts], axis=0, dtype=np.float64) if parts else np.zeros(size)
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -124,15 +124,15 @@ def count_classes(total: np.ndarray, batch: pa.RecordBatch) -> None:
 
 
 def loss_of(weights: np.ndarray, intercept: float) -> Callable[[np.ndarray, pa.RecordBatch], None]:
-    """The sum of errors over the rows that hold each bucket, then over all rows, then the sum of losses."""
+    """The sum of errors over the rows that hold each feature, then over all rows, then the sum of losses."""
 
     def add(total: np.ndarray, batch: pa.RecordBatch) -> None:
         for y, held in _rows(batch):
-            margin = float(weights[held].sum(dtype=np.float64)) + intercept
+            margin = float(weights[held].sum()) + intercept
             error = float(logistic(np.float64(margin))) - y
             total[held] += error
-            total[1 << BITS] += error
-            total[(1 << BITS) + 1] += np.logaddexp(0, margin if not y else -margin)
+            total[-2] += error
+            total[-1] += np.logaddexp(0, margin if not y else -margin)
 
     return add
 
@@ -183,20 +183,33 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, training: Column, text:
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(lists, pa.list_(pa.int32()))], names=["y", "at"])
 
     rows = written(taught.mapInArrow(held, "y int, at array<int>"), "toxicity-sample")
-    counts = _summed(rows, count_classes, (2 << BITS) + 2)
+    counts = _summed(rows, count_classes, (2 << BITS) + 2, "<i4")
     n_q, n_p = counts[-2:]
     if not n_q or not n_p:
         share = n_p / max(1, n_p + n_q)
         return Model(np.zeros(1 << BITS, dtype=np.float32), 30.0 * (2 * share - 1) if share in (0, 1) else float(np.log(share / (1 - share))))
     ratio = class_ratios(counts[1 << BITS : 2 << BITS], counts[: 1 << BITS], n_p, n_q)
+    used = np.flatnonzero(ratio).astype(np.int32)
+    ratio = ratio[used]
+
+    def telling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.full(1 << BITS, -1, dtype=np.int32)
+        place[used] = np.arange(len(used))
+        for batch in batches:
+            lists = [x[x >= 0] for x in (place[held] for _, held in _rows(batch))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int32()))], names=["y", "at"])
+
+    rows = written(rows.mapInArrow(telling, "y int, at array<int>"), "toxicity-features")
 
     def risk(x: np.ndarray) -> tuple[float, np.ndarray]:
         w = x[:-1]
-        sums = _summed(rows, loss_of((w * ratio).astype(np.float32), float(x[-1])), (1 << BITS) + 2) / (n_p + n_q)
+        sums = _summed(rows, loss_of(w * ratio, float(x[-1])), len(x) + 1) / (n_p + n_q)
         return sums[-1] + penalty / 2 * (w @ w), np.append(ratio * sums[:-2] + penalty * w, sums[-2])
 
-    x = least(risk, np.zeros((1 << BITS) + 1), calls)
-    return Model((x[:-1] * ratio).astype(np.float32), float(x[-1]))
+    x = least(risk, np.zeros(len(used) + 1), calls)
+    weights = np.zeros(1 << BITS, dtype=np.float32)
+    weights[used] = x[:-1] * ratio
+    return Model(weights, float(x[-1]))
 
 
 def scores(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
