@@ -18,7 +18,7 @@ the runs partition the starts of a text. A run's segment is all bytes of its win
 4. The covered intervals return to the texts, which lose them.
 
 Cases: null texts count as empty; texts under `length` bytes lose nothing; doc_ids may repeat or be null: rows are known
-by a 64-bit hash of doc_id and text, and rows alike in both lose the same; repeated rows are copies of each other; empty
+by 128 bits of hashes of doc_id and text, and rows alike in both lose the same; repeated rows are copies of each other; empty
 tables give an empty result; other columns, whatever their names, are kept by deduplicated() and not read by op6.
 """
 
@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,7 +124,7 @@ def runs(texts: DataFrame, length: int) -> DataFrame:
             columns = [rid] + [pa.array(x.astype(np.int32)) for x in (lo, n, q)] + [pa.array(x.view(np.int64)) for x in (lead, segment)]
             yield pa.RecordBatch.from_arrays(columns, names=["rid", "lo", "n", "q", "lead", "segment"])
 
-    return texts.mapInArrow(run, "rid long, lo int, n int, q int, lead long, segment long")
+    return texts.mapInArrow(run, "rid binary, lo int, n int, q int, lead long, segment long")
 
 
 def packed(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -317,9 +317,15 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.set_column(at, "text", pa.array([unpack(x) for x in batch.column(at).to_pylist()], pa.binary()))
 
 
+def row_name(*columns: str) -> Column:
+    """16 bytes: two hashes of the columns, from different seeds."""
+    both = [F.lpad(F.hex(F.xxhash64(F.lit(seed), *columns)), 16, "0") for seed in (1, 2)]
+    return F.unhex(F.concat(*both))
+
+
 def covered_intervals(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     """(rid, spans): for texts that lose bytes, sorted arrays of (a, b), b exclusive; they may overlap."""
-    texts = docs.select(F.xxhash64("doc_id", text).alias("rid"), F.col(text).alias("text"))  # a row is known by both
+    texts = docs.select(row_name("doc_id", text).alias("rid"), F.col(text).alias("text"))
     found = runs(texts, length)  # made twice, which costs less than keeping them
     leads = written(found.select("lead").groupBy("lead").count().where(F.col("count") > 1).select("lead"), "suffix-leads")
     repeats = written(found.join(leads.hint("merge"), "lead", "left_semi"), "suffix-repeats")
@@ -333,7 +339,7 @@ def _joined(docs: DataFrame, text: str, length: int) -> DataFrame:
     """docs with packed text as `text`, and spans; both under names of their own."""
     spans = written(covered_intervals(docs, text, length), "suffix-spans")
     others = [F.col(c).alias(f"_{k}") for k, c in enumerate(docs.columns) if c != text]
-    here = packed(docs.select(F.xxhash64("doc_id", text).alias("rid"), F.col(text).alias("text"), *others))
+    here = packed(docs.select(row_name("doc_id", text).alias("rid"), F.col(text).alias("text"), *others))
     return here.join(spans, "rid", "left").drop("rid")
 
 
