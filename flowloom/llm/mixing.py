@@ -2,15 +2,18 @@
 
 Every source has a weight and so a target share of all words; a target stops at `most` times the source's
 size, and what is left over is shared again by weight. The words of a source lie in shards, those of a shard
-in blocks of `block` words. Sainte-Laguë (highest quotients claim / (2 seats + 1)) allots whole blocks first to
-sources, then within a source to its shards. A shard with n blocks and a quota q takes each block q // n times
-and q % n seeded ones once more. Documents lie in their shard in the order of a seeded hash.
+in blocks of `block` words; one word by default, so that the smallest sources come out at their targets too. Sainte-Laguë (highest quotients
+claim / (2 seats + 1)) allots whole blocks first to sources, then within a source to its shards. A shard with n blocks and a quota q takes
+each block q // n times, and q % n of them once more: those from a seeded place on, going on at the shard's start. Documents lie in their
+shard in the order of a seeded hash, so these are whole documents but for the first and the last.
 
 Targets and quotas are computed on tables with a row for each source or shard. The documents are shuffled once,
-by shard; shards hold about `shard_rows` rows, so that a source with a third of all rows is spread out.
+by shard; shards hold about `shard_rows` rows, more where a source would have over `most_shards`, so a source with a third of all rows is spread
+out and its quotas fit in a task.
 
 Cases: null text counts 0 words and is never taken; null source is a source of its own, ranked last; empty tables
-give an empty result; repeated rows each take part, and rows that are alike in all columns may swap their parts;
+give an empty result; repeated rows each take part, and rows that are alike in all columns may swap their parts; very long texts are one document in
+their shard, which may then be much larger than others;
 columns named like the ones that mix() adds are replaced there and kept by mixed_documents().
 """
 
@@ -24,7 +27,7 @@ from flowloom.llm.common import bounded_broadcast, table, written
 
 WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
-_ADDED = ("size", "source_size", "target", "taken", "_sid", "_shard", "_start", "_quota", "_blocks")
+_ADDED = ("size", "source_size", "target", "taken", "_sid", "_shard", "_start", "_quota", "_blocks", "_words", "_block")
 
 
 def word_count(text: str | Column) -> Column:
@@ -69,15 +72,15 @@ def sainte_lague(parties: DataFrame, group: list[str], claim: str, seats: str, k
     return p.join(more, key, "left").withColumn(into, F.col("_first") + F.coalesce("_more", F.lit(0))).drop("_total", "_share", "_first", "_miss", "_more")
 
 
-def mix(docs: DataFrame, text: str | None = "text", block: int = 32, shard_rows: int = 256, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:
+def mix(docs: DataFrame, text: str | None = "text", block: int = 1, shard_rows: int = 256, most_shards: int = 1 << 16, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:
     """`docs` (doc_id, source, and text or, where `text` is None, size) with size, source_size, target, taken, and the
-    plan of what is taken: _start (first word's place in the shard), _blocks and _quota of its shard, _sid and _shard."""
+    plan of what is taken: _start (first word's place in the shard), _words, _blocks and _quota of its shard, _sid and _shard."""
     docs = docs.drop(*[c for c in _ADDED if c != "size" or text is not None])
     sized = docs.withColumn("size", word_count(text)) if text is not None else docs
     ordered = ["doc_id", "size"] + ([text] if text is not None else [])
     per_source = written(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows")), weights, most), "mix-sources")
     placed = F.xxhash64(F.lit(seed), *ordered)
-    known = bounded_broadcast(per_source.select(F.col("source").alias("_source"), "_sid", "source_size", "target", F.ceil(F.col("n_rows") / shard_rows).alias("_shards")))
+    known = bounded_broadcast(per_source.select(F.col("source").alias("_source"), "_sid", "source_size", "target", F.least(F.ceil(F.col("n_rows") / shard_rows), F.lit(most_shards)).alias("_shards")))
     sharded = sized.withColumn("_placed", placed).join(known, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     sharded = sharded.withColumn("_shard", F.pmod("_placed", F.col("_shards")))
     shards = sharded.groupBy("_sid", "_shard").agg(F.sum("size").alias("_size"), F.first("source_size").alias("_of"), F.first("target").alias("_target"))
@@ -86,24 +89,25 @@ def mix(docs: DataFrame, text: str | None = "text", block: int = 32, shard_rows:
     shards = shards.join(bounded_broadcast(written(allotted, "mix-quotas")), "_sid").withColumn("_claim", F.col("_size").cast("double"))
     quotas = sainte_lague(shards, ["_sid"], "_claim", "_source_quota", ["_sid", "_shard"], "_q")
     blocks = F.ceil(F.col("_size") / block)
-    quotas = written(quotas.select("_sid", "_shard", blocks.alias("_blocks"), F.least("_q", blocks * most).alias("_quota")), "mix-shards")
+    quotas = written(quotas.select("_sid", "_shard", F.col("_size").alias("_words"), blocks.alias("_blocks"), F.least("_q", blocks * most).alias("_quota")), "mix-shards")
     inside = Window.partitionBy("_sid", "_shard").orderBy("_placed", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     laid = sharded.join(quotas.hint("merge"), ["_sid", "_shard"]).withColumn("_start", F.sum("size").over(inside) - F.col("size"))
     laid = laid.withColumn("_block", F.lit(block)).withColumn("taken", taken())
     return laid.drop("_placed", "_shards")
 
 
-def _chosen(at: Column) -> Column:
-    """Whether block `at` of the shard is taken once more. A multiplier prime to the number of blocks deals the extra blocks over the shard."""
-    n = F.col("_blocks")
-    return F.pmod(at * 2654435761 + F.pmod(F.xxhash64("_sid", "_shard"), n), n) < F.pmod(F.col("_quota"), n)
+def _extra() -> list[tuple[Column, Column]]:
+    """Of a document: the ranges of its words, from 0, that lie in blocks taken once more; two, as these may go on at the shard's start. Empty ones end where or before they start."""
+    n, block, start, size = F.col("_blocks"), F.col("_block"), F.col("_start"), F.col("size")
+    first = F.pmod(F.xxhash64("_sid", "_shard"), n)
+    last = first + F.pmod(F.col("_quota"), n)
+    ranges = [(first * block, F.least(last, n) * block), (F.lit(0).cast("long"), F.greatest(last - n, F.lit(0)) * block)]
+    return [(F.greatest(a - start, F.lit(0)), F.least(b - start, size)) for a, b in ranges]
 
 
 def taken() -> Column:
-    n, start, size, block = F.col("_blocks"), F.col("_start"), F.col("size"), F.col("_block")
-    spans = F.sequence(F.floor(start / block), F.floor((start + size - 1) / block))
-    extra = F.aggregate(spans, F.lit(0).cast("long"), lambda s, b: s + F.when(_chosen(b), F.least((b + 1) * block, start + size) - F.greatest(b * block, start)).otherwise(F.lit(0)))
-    return F.when((size == 0) | (n == 0), F.lit(0)).otherwise(F.floor(F.col("_quota") / n) * size + extra).cast("long")
+    extra = sum((F.greatest(b - a, F.lit(0)) for a, b in _extra()), F.lit(0).cast("long"))
+    return F.when((F.col("size") == 0) | (F.col("_blocks") == 0), F.lit(0)).otherwise(F.floor(F.col("_quota") / F.col("_blocks")) * F.col("size") + extra).cast("long")
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame:
@@ -113,9 +117,10 @@ def mixed_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame
     whole = docs.select("doc_id", "source", text, F.struct(*[c for c in columns if c != text]).alias("_row"))
     laid = mix(whole, text, **options).where(F.col("taken") > 0)
     words = F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    part = F.array_join(F.filter(words, lambda _, k: _chosen(F.floor((F.col("_start") + k) / F.col("_block")))), " ")
     rest = F.col("taken") % F.col("size")
     times = F.floor(F.col("taken") / F.col("size"))
+    spans = [F.slice(words, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int")) for a, b in reversed(_extra())]  # in the text's order
+    part = F.array_join(F.concat(*spans), " ")
     texts = F.concat(F.array_repeat(F.col(text), times.cast("int")), F.when(rest > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
     out = laid.select("_row", F.explode(texts).alias("_text"))
     made = {text: F.col("_text"), "n_chars": F.char_length("_text").cast(docs.schema["n_chars"].dataType) if "n_chars" in columns else None}

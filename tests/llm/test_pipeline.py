@@ -6,7 +6,7 @@ import corpus_pipeline
 from flowloom.llm import mixing, pieces, quality
 from flowloom.llm.common import table, written
 from flowloom.llm.toxicity import is_training
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_near_copies import brute_groups
 
 
 def kept_text(raw, seen, length=200):
@@ -35,10 +35,8 @@ def test_stages(spark, sf_dir):
     assert sum(r["doc_id"] in good for r in clean) >= 0.98 * len(clean)
 
     before, after = made["near_dedup"]
-    rows = before.orderBy("doc_id").collect()
-    ids = [r["doc_id"] for r in rows]
-    heads = brute_components(ids, [brute_fingerprint(r["text"]) for r in rows])
-    assert sorted(r["doc_id"] for r in after.collect()) == sorted(set(heads))
+    heads = brute_groups({r["doc_id"]: r["text"] for r in before.collect()})
+    assert sorted(r["doc_id"] for r in after.collect()) == sorted(set(heads.values()))
 
     before, after = made["suffix_dedup"]
     texts = {r["doc_id"]: r["text"].encode() for r in before.collect()}
@@ -70,3 +68,16 @@ def test_registered(spark):
     names = set(__spark_entry__.queries())
     assert {"pipeline"} | {f"op{k}" for k in range(1, 11)} <= {n if n == "pipeline" else n.split("_")[0] for n in names}
     assert len(corpus_pipeline.STAGES) == 5 and set(__spark_entry__.oracle_sql()) <= names
+
+
+def test_nulls_empty_and_long_texts_and_an_empty_table(spark, sf_dir, tmp_path):
+    """From end to end: ids and texts that are null, texts that are empty or long, repeated rows; and no rows at all."""
+    docs = table(spark, sf_dir, "documents")
+    odd = [(None, "a b c d e f"), (None, None), (900_001, None), (900_002, ""), (900_003, "word " * 30_000), (900_003, "word " * 30_000), (900_004, "x" * 20_000)]
+    rows = spark.createDataFrame([(i, t, None, None, None) for i, t in odd], docs.select("doc_id", "text", "lang", "source", "n_chars").schema).select(*docs.columns)
+    for name, df in (("odd", docs.limit(40).unionByName(rows)), ("none", docs.limit(0))):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        table(spark, sf_dir, "labels").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert out.where("not round_trip or n_tokens <> size(token_ids)").count() == 0
+        assert (out.count() > 0) == (name == "odd")
