@@ -19,8 +19,18 @@ def shared_folder(spark: SparkSession) -> str:
     return base
 
 
-def staged(df: DataFrame, name: str = "stage") -> DataFrame:
-    """df written and read again: later plans start from files, and a lost executor costs a reread only."""
-    path = f"{shared_folder(df.sparkSession)}/flowloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def staged(df: DataFrame, name: str = "stage", compression: str | None = None) -> DataFrame:
+    """df written and read again: later plans start from files, and a lost executor costs a reread only. The table stays until cleared() is called, as what is
+    returned, and whatever is made of it, reads it."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/flowloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    writer = df.write if compression is None else df.write.option("compression", compression)
+    writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def cleared(spark: SparkSession) -> None:
+    """Removes all tables that this application has staged; for when their results have been written elsewhere."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/flowloom/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

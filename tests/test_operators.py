@@ -264,3 +264,15 @@ def test_graph_edits_and_forks(spark):
         state.copied_thread(c, "t", "t")
     assert rows(state.copied_thread(c, "t", "u"), "thread_id", "id") == [("u", 1)]
     assert rows(state.threads(c), "thread_id") == [("t",)]
+
+
+def test_staged_tables_can_be_cleared(spark):
+    from pathlib import Path
+
+    from flowloom.sources.staging import cleared, shared_folder, staged
+
+    kept = staged(spark.range(5), "kept")
+    folder = Path(shared_folder(spark)) / "flowloom" / spark.sparkContext.applicationId
+    assert kept.count() == 5 and any(folder.glob("kept-*"))
+    cleared(spark)
+    assert not folder.exists()
