@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowloom.sources.staging import staged
+
 
 BATCH_BYTES = 4 << 20
 
@@ -28,24 +28,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only a local session that names none, as in tests, gets one of its own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="flowloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes df as a table in the shared folder and reads it again. Lost executors cost a reread."""
-    spark = df.sparkSession
-    bounded_batches(spark)
-    path = f"{shared_dir(spark)}/flowloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Cuts lineage: a staged table, packed, as it may hold texts and vectors. Lost executors cost a reread."""
+    bounded_batches(df.sparkSession)
+    return staged(df, name, "zstd")
 
 
 def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
