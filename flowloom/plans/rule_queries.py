@@ -17,7 +17,7 @@ from flowloom.plans.more_queries import _LINES
 from flowloom.plans.registry import query
 from flowloom.plans.state_queries import tree
 from flowloom.sources.staging import shared_folder
-from flowloom.sources.tables import append_journal, call_each, read_journal, table
+from flowloom.sources.tables import agent_turn, append_journal, call_each, read_journal, table
 
 L = "long"
 
@@ -220,6 +220,18 @@ def capability_call(spark: SparkSession, d: str) -> DataFrame:
     return call_each(events(spark, d).select("ord", "event_type"), answer).select("ord", "response", "error")
 
 
+@query("""SELECT event_id AS ord, CASE WHEN event_id % 4 = 0 THEN '{"sum": ' || (user_id + 1) || '}' ELSE '{"kind": "' || event_type || '"}' END AS response FROM events""")
+def agent_hop(spark: SparkSession, d: str) -> DataFrame:
+    """Every fourth row's runner asks for a tool and answers with its result."""
+
+    def runner(row: dict) -> str:
+        if "tool_result" in row:
+            return f'{{"sum": {row["tool_result"]}}}'
+        return f'{{"tool_call": {{"n": {row["user_id"]}}}}}' if row["ord"] % 4 == 0 else f'{{"kind": "{row["event_type"]}"}}'
+
+    return agent_turn(events(spark, d).select("ord", "event_type", "user_id"), runner, lambda asked: asked["n"] + 1).select("ord", "response")
+
+
 @query("SELECT event_id AS \"offset\", event_type FROM events WHERE user_id = 7 AND event_id >= 100")
 def journal_read_from(spark: SparkSession, d: str) -> DataFrame:
     """Observations appended to a journal by run, one run's read from an offset."""

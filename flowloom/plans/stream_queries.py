@@ -36,3 +36,13 @@ SELECT e.run, e.seq, greatest(e.ms - b.ms, 0) AS elapsed_ms FROM p e JOIN p b ON
 def stream_latencies(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d).select(F.col("user_id").alias("run"), F.col("event_id").alias("seq"), "ts", F.col("event_type").isin("view", "signup").alias("start"))
     return streams.to_table(streams.latencies(e, ["run"], "seq", "ts", "start", "40 days"), name="latencies").select("run", "seq", "elapsed_ms")
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k""")
+def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions end after six hours without an event; of complete results the last is the whole."""
+    found = streams.to_table(streams.session_counts(events(spark, d), "ts", ["user_id"], "6 hours", "40 days"), "complete", "sessions")
+    last = found.agg(F.max("batch").alias("batch"))
+    start = F.date_format(F.to_utc_timestamp("start", F.current_timezone()), "yyyy-MM-dd HH:mm:ss")
+    return found.join(F.broadcast(last), "batch").select("user_id", start.alias("start"), "n")

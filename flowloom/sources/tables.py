@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -73,3 +74,17 @@ def call_each(df: DataFrame, call: Callable[[dict], str | None], column: str = "
             yield made.filter(made.column(made.num_columns - 1).is_null()) if on_error == "skip" else made
 
     return df.mapInArrow(run, schema)
+
+
+def agent_turn(df: DataFrame, runner: Callable[[dict], str], tool: Callable[[dict], object], column: str = "response", on_error: str = "collect") -> DataFrame:
+    """An agent node: `runner` gets each row and gives JSON text; where that is an object with a `tool_call`, `tool` gets it, and the runner is asked once more, with
+    the row and its `tool_result`. There is one such hop; a second wish for a tool is the answer. See operators.items.auto_fixed for the parser behind it."""
+
+    def call(row: dict) -> str | None:
+        answer = runner(row)
+        made = json.loads(answer) if answer is not None else None
+        if isinstance(made, dict) and made.get("tool_call") is not None:
+            answer = runner({**row, "tool_result": tool(made["tool_call"])})
+        return answer
+
+    return call_each(df, call, column, on_error)
