@@ -22,7 +22,6 @@ row's result; an empty table gives an empty result; labels and other columns are
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -77,24 +76,31 @@ class Grid:
         a, b = halves(unit)
         return squared(a, self.first).argmin(axis=1) * len(self.second) + (squared(b, self.second).argmin(axis=1) if b.shape[1] else 0)
 
-    def nearest_cells(self, unit: np.ndarray, visits: int) -> np.ndarray:
-        """Multi-sequence traversal for every row: its `visits` nearest cells, nearest first."""
+    def nearest_cells(self, unit: np.ndarray, visits: int, piece: int = 1 << 21) -> np.ndarray:
+        """Multi-sequence traversal for every row: its `visits` nearest cells, nearest first. All rows advance together: of each
+        centroid of the first half, in order, the next one of the second half is a candidate once its predecessor has been visited."""
         a, b = halves(unit)
-        da, db = squared(a, self.first), squared(b, self.second) if b.shape[1] else np.zeros((len(unit), 1))
-        oa, ob = np.argsort(da, axis=1, kind="stable"), np.argsort(db, axis=1, kind="stable")
-        da, db = np.take_along_axis(da, oa, 1), np.take_along_axis(db, ob, 1)
-        visits = min(visits, da.shape[1] * db.shape[1])
+        k1, k2 = len(self.first), len(self.second)
+        visits = min(visits, k1 * k2)
         out = np.empty((len(unit), visits), dtype=np.int64)
-        for r in range(len(unit)):
-            x, y = da[r].tolist(), db[r].tolist()
-            heap, reached = [(x[0] + y[0], 0, 0)], {0}  # cells as i * len(y) + j
+        for at in range(0, len(unit), step := max(1, piece // max(k1, k2))):
+            x, y = a[at : at + step], b[at : at + step]
+            da, db = squared(x, self.first), squared(y, self.second) if y.shape[1] else np.zeros((len(x), 1))
+            oa, ob = (np.argsort(d, axis=1, kind="stable")[:, :visits] for d in (da, db))
+            da, db = np.take_along_axis(da, oa, 1), np.take_along_axis(db, ob, 1)
+            rows = np.arange(len(x))
+            after = np.zeros(da.shape, dtype=np.int64)  # the next of the second half for each of the first
+            sums = np.full(da.shape, np.inf)
+            sums[:, 0] = da[:, 0] + db[:, 0]
             for v in range(visits):
-                _, i, j = heapq.heappop(heap)
-                out[r, v] = oa[r, i] * len(self.second) + ob[r, j]
-                for i2, j2 in ((i + 1, j), (i, j + 1)):
-                    if i2 < len(x) and j2 < len(y) and i2 * len(y) + j2 not in reached:
-                        reached.add(i2 * len(y) + j2)
-                        heapq.heappush(heap, (x[i2] + y[j2], i2, j2))
+                i = sums.argmin(axis=1)
+                j = after[rows, i]
+                out[at : at + step, v] = oa[rows, i] * k2 + ob[rows, j]
+                more = j + 1 < db.shape[1]
+                sums[rows, i] = np.where(more, da[rows, i] + db[rows, np.minimum(j + 1, db.shape[1] - 1)], np.inf)
+                after[rows, i] = j + 1
+                new = np.flatnonzero((j == 0) & (i + 1 < da.shape[1]))
+                sums[new, i[new] + 1] = da[new, i[new] + 1] + db[new, 0]
         return out
 
 

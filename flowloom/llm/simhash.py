@@ -14,7 +14,8 @@ of its own. A task returns a forest of its links, not the links, so groups of ne
 Components of the links are found by components.connected_components on representatives (smallest doc_id of each
 fingerprint).
 
-Cases: null text counts as empty; null doc_id belongs to its fingerprint's group but never names one; repeated rows are
+Cases: null text counts as empty; very long texts are one fingerprint each, read whole; rows of one doc_id with several texts have a
+fingerprint each, and fingerprints named by one doc_id are one group; null doc_id belongs to its fingerprint's group but never names one; repeated rows are
 kept; ties don't arise (smallest doc_id); an empty table gives an empty result; other columns are not read.
 """
 

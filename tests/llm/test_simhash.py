@@ -72,3 +72,12 @@ def test_edge_cases(spark):
     twice = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x")], docs.schema)
     assert simhash.one_of_each(twice).count() == 1
     assert simhash.simhash_components(docs.limit(0)).count() == 0
+
+
+def test_one_doc_id_with_several_texts(spark):
+    """Its fingerprints are rows of their own and one group where that doc_id names both."""
+    texts = ["one two three four five six", "other words that share nothing at all with it", "one two three four five six"]
+    df = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (2, texts[2]), (3, texts[1]), (4, "x " * 100_000)], "doc_id long, text string")
+    rows = simhash.simhash_components(df).collect()
+    assert len(rows) == 5 and len({r["fp"] for r in rows if r["doc_id"] == 1}) == 2
+    assert {(r["doc_id"], r["component_id"]) for r in rows} == {(1, 1), (2, 1), (3, 1), (4, 4)}
