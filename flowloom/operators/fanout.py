@@ -60,6 +60,20 @@ def release(policy: str, arrived: Column, expected: Column, spent: Column, n: in
     return F.when(arrived >= needed, "emit").when(~spent, "wait").otherwise(late)
 
 
+MAX_DEPTH = 8
+
+
+def sub_flow(items: DataFrame, flows: Mapping[str, Callable[[DataFrame, int], DataFrame]], name: str, inputs: Mapping[str, Column] | None = None, depth: int = 0, most: int = MAX_DEPTH) -> DataFrame:
+    """Runs another flow on the items: one of `flows` by its name, which gets the columns that `inputs` maps (with ORD; all columns without it) and its own
+    depth, to pass on to flows that it calls. Over `most` levels, or an unknown name, is an error."""
+    if name not in flows:
+        raise ValueError(f"no flow {name!r}")
+    if depth >= most:
+        raise ValueError(f"flow {name!r} is nested over {most} levels deep")
+    given = items if inputs is None else items.select(ORD, *[c.alias(k) for k, c in inputs.items()])
+    return flows[name](given, depth + 1)
+
+
 def gate(tickets: DataFrame, results: DataFrame, key: str) -> DataFrame:
     """Tickets with their results; `done` tells whether one has come."""
     return tickets.join(results.withColumn("done", F.lit(True)), key, "left").withColumn("done", F.coalesce("done", F.lit(False)))

@@ -11,13 +11,13 @@ from pyspark.sql.types import ArrayType, LongType, StringType
 from flowloom.functions import expr as X
 from flowloom.functions import text as T
 from flowloom.functions import values as V
-from flowloom.operators import checks, fanout, graphs, items, journal, state
+from flowloom.operators import checks, fanout, graphs, items, journal, ledger, state
 from flowloom.plans.flow_queries import events, order_lines, orders
 from flowloom.plans.more_queries import _LINES
 from flowloom.plans.registry import query
 from flowloom.plans.state_queries import tree
 from flowloom.sources.staging import shared_folder
-from flowloom.sources.tables import agent_turn, append_journal, call_each, read_journal, table
+from flowloom.sources.tables import agent_turn, append_journal, call_each, json_documents, read_journal, table
 
 L = "long"
 
@@ -297,3 +297,26 @@ def expr_add_arrays(spark: SparkSession, d: str) -> DataFrame:
     """add on arrays joins them."""
     lists = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("ord")).agg(F.collect_list(X.pieces(F.col("c_mktsegment"), "I")).alias("lists"))
     return lists.select("ord", F.size(V.total(F.col("lists"), ArrayType(StringType()))).cast(L).alias("n"))
+
+
+@query("SELECT o_orderkey AS ord, o_custkey * 4 + 3 AS x FROM orders WHERE o_orderstatus = 'F'")
+def sub_workflow_call(spark: SparkSession, d: str) -> DataFrame:
+    """A flow that calls another one twice, with its inputs mapped."""
+
+    def twice(df: DataFrame, depth: int) -> DataFrame:
+        once = fanout.sub_flow(df, flows, "step", {"n": F.col("start")}, depth)
+        return fanout.sub_flow(once, flows, "step", {"n": F.col("x")}, depth)
+
+    flows = {"step": lambda df, depth: df.select("ord", (F.col("n") * 2 + 1).alias("x")), "twice": twice}
+    return fanout.sub_flow(orders(spark, d).where("o_orderstatus = 'F'"), flows, "twice", {"start": F.col("o_custkey")})
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'own ' || c_mktsegment ELSE c_mktsegment END AS segment, CAST(CASE WHEN c_custkey % 4 = 0 THEN 1 ELSE 0 END AS BIGINT) AS layer FROM customer""")
+def layered_json_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of two folders of JSON; a later folder's overrides an earlier one's."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"))
+    at = f"{shared_folder(spark)}/flowloom/layers-{uuid.uuid4().hex}"
+    c.write.json(f"{at}/base")
+    c.where("id % 4 = 0").withColumn("segment", F.concat(F.lit("own "), "segment")).write.json(f"{at}/own")
+    both = json_documents(spark, [f"{at}/base", f"{at}/own"], "id long, segment string")
+    return ledger.layered_override(both, "id", "layer").select("id", "segment", F.col("layer").cast(L).alias("layer"))
