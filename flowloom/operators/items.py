@@ -33,9 +33,10 @@ def first_item(items: DataFrame, value: Column, name: str = "first") -> DataFram
     return items.agg(F.min_by(value, F.col(ORD)).alias(name))
 
 
-def condition(items: DataFrame, value: Column, kind, port: bool) -> DataFrame:
-    """The first item decides for the whole batch; all items go on by port true or false (false without items)."""
-    decided = first_item(items, truthy(value, kind), "_port").select(F.coalesce("_port", F.lit(False)).alias("_port"))
+def condition(items: DataFrame, value: Column, kind, port: bool, first: DataFrame | None = None) -> DataFrame:
+    """The first item decides for the whole batch; all items go on by port true or false (false without items). `first` is that item, where it is known
+    without the others, so that costly columns aren't made twice."""
+    decided = first_item(items if first is None else first, truthy(value, kind), "_port").select(F.coalesce("_port", F.lit(False)).alias("_port"))
     return items.crossJoin(F.broadcast(decided.where(F.col("_port") == port))).drop("_port")
 
 

@@ -22,11 +22,14 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     return items.as_items(table(spark, d, "events"), "event_id")
 
 
-def order_lines(spark: SparkSession, d: str, base: DataFrame | None = None) -> DataFrame:
-    """Orders (or base) with their lines as an array of structs; an order without lines has an empty one."""
+def order_lines(spark: SparkSession, d: str, base: DataFrame | None = None, one: bool = False) -> DataFrame:
+    """Orders (or base; `one`: of a single row) with their lines as an array of structs; an order without lines has an empty one."""
     line = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast(L).alias("qty"), F.round("l_extendedprice", 2).alias("price"), "l_returnflag", "l_shipdate")
-    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
     o = orders(spark, d) if base is None else base
+    source = table(spark, d, "lineitem")
+    if one:
+        source = source.join(F.broadcast(o.select(F.col("o_orderkey").alias("l_orderkey"))), "l_orderkey", "left_semi")
+    lines = source.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
     joined = o.join(lines, o.o_orderkey == lines.l_orderkey, "left")
     return joined.withColumn("lines", F.coalesce("lines", F.array().cast(lines.schema["lines"].dataType))).drop("l_orderkey")
 
@@ -41,7 +44,8 @@ def flow_order_etl(spark: SparkSession, d: str) -> DataFrame:
     placed = items.positions(orders(spark, d).select("o_orderkey", "o_totalprice", items.ORD), items.ORD)  # before the lines, which are wide
     batch = order_lines(spark, d, placed)
     tiered = items.transform_set(batch, {"tier": F.when(F.col("o_totalprice") > 250000, "gold").otherwise("base")})
-    chosen = items.condition(tiered, F.col("lines"), tiered.schema["lines"].dataType, True)
+    first = order_lines(spark, d, placed.orderBy(items.ORD).limit(1), one=True)
+    chosen = items.condition(tiered, F.col("lines"), tiered.schema["lines"].dataType, True, first)
     out = items.split_out(chosen, "lines")
     return out.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.sum("position").alias("pairs"), F.sum("value.qty").alias("qty"))
 
