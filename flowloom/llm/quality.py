@@ -2,7 +2,8 @@
 
 Features of a whole text (text_features): SHAPE figures of its form (shares of kinds of bytes, words, repeats, lines), and what it
 says: its words, and its strings of GRAM bytes, each hashed to WORD_BUCKETS and GRAM_BUCKETS sums with a sign of the hash (A-Z lower-cased),
-over the square root of their number. Model: a small network on the standardised features. Risk: the non-negative unbiased one,
+over the square root of their number. Model: a small network on the standardised features, where each of the latter counts one BALANCE-th, so
+that very many of them don't outweigh the shape. Risk: the non-negative unbiased one,
     prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)),
 with sigmoid loss, minimised with Adam; while the second term is under 0, a step goes against it. Positives are documents
 with label 1, unlabelled are documents of any kind, whose labels aren't looked at. Labels 0 are never used. The class prior
@@ -35,6 +36,7 @@ from flowloom.llm.words import NOT_SPACE, lowered, word_hashes, word_spans
 
 N_POSITIVE, N_UNLABELLED = 6000, 9000
 WORD_BUCKETS, GRAM_BUCKETS, GRAM = 192, 192, 4
+BALANCE = 4.0
 
 _KINDS = 10
 
@@ -178,11 +180,12 @@ def weight_slopes(m: Model, z: np.ndarray, slope: np.ndarray) -> dict[str, np.nd
     return {"w1": z.T @ back, "b1": back.sum(axis=0), "w2": h.T @ slope, "b2": slope.sum()}
 
 
-def fit_network(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, seed: int = 5, hidden: int = 24, rounds: int = 40, batches: int = 24, rate: float = 3e-3, decay: float = 1e-3) -> Model:
+def fit_network(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, seed: int = 5, hidden: int = 24, rounds: int = 60, batches: int = 24, rate: float = 3e-3, decay: float = 1e-4) -> Model:
     """prior None: plain logistic loss of positives against unlabelled, for estimating the prior."""
     rng = np.random.default_rng(seed)
     everything = np.concatenate([positive, unlabelled])
     m = Model(everything.mean(axis=0, dtype=np.float64), everything.std(axis=0, dtype=np.float64) + 1e-6, rng.normal(0, (2 / positive.shape[1]) ** 0.5, (positive.shape[1], hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, hidden), 0.0)
+    m.scale[SHAPE:] *= BALANCE
     zp, zu = m.standard(positive), m.standard(unlabelled)
     first, second = ({k: np.zeros_like(np.asarray(getattr(m, k), dtype=float)) for k in ("w1", "b1", "w2", "b2")} for _ in range(2))
     step = 0
