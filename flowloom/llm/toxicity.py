@@ -7,8 +7,9 @@ SURE of its standard errors, so that a bucket that few texts hold has no say, bu
 feature: 0, or the ratio where the text holds it. A logistic regression on these, penalised by the squares of its weights, gives the score.
 
 Fit: on at most PER_CLASS labelled rows of each class, those with the smallest hashes of doc_id (a documented sample; all
-rows where there are fewer). What these texts hold of the buckets with a ratio stays in a table; each step of the regression (L-BFGS) is a job of at most
-TASKS tasks over it, each of which sends its part of the slope, a number for each such bucket, to the driver. Scoring reads every whole text once, without a shuffle.
+rows where there are fewer). Counts of buckets are added up in tasks, SLICE buckets in a row; the driver gets only the ratios that are not 0. What these texts hold of the buckets with a ratio
+stays in a table; each step of the regression (L-BFGS) is a job of at most TASKS tasks over it, each of which sends its part of the slope, a number for each such bucket, to the driver.
+Scoring reads every whole text once, without a shuffle.
 
 Cases: null and empty texts have no n-grams but the one of two spaces that every text has, and score by it and the intercept; a doc_id labelled twice takes its
 larger label; a doc_id with several texts teaches by one of them (the smallest hash); rows with null labels don't teach; a
@@ -33,6 +34,7 @@ BITS = 20
 PER_CLASS = 4000
 SURE = 2.0
 TASKS = 8
+SLICE = 1 << 14
 
 _SPACED = np.arange(128, dtype=np.uint32)
 _SPACED[[k for k in range(128) if not chr(k).isalnum()]] = 32
@@ -95,17 +97,17 @@ def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _summed(rows: DataFrame, add: Callable[[np.ndarray, pa.RecordBatch], None], size: int, kind: str = "<f8") -> np.ndarray:
+def _summed(rows: DataFrame, add: Callable[[np.ndarray, pa.RecordBatch], None], size: int) -> np.ndarray:
     """The sum over all tasks of the vector of `size` numbers to which `add` adds what a batch gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, dtype=kind)
+        total = np.zeros(size)
         for batch in batches:
             add(total, batch)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
 
     parts = rows.coalesce(TASKS).mapInArrow(run, "part binary").collect()
-    return np.sum([np.frombuffer(r["part"], dtype=kind) for r in parts], axis=0, dtype=np.float64) if parts else np.zeros(size)
+    return np.sum([np.frombuffer(r["part"], dtype="<f8") for r in parts], axis=0) if parts else np.zeros(size)
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -116,13 +118,6 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
         yield y, values[offsets[k] : offsets[k + 1]]
 
 
-def count_classes(total: np.ndarray, batch: pa.RecordBatch) -> None:
-    """Rows of either class that hold each bucket, those of class 1 after those of class 0; then the rows of either class."""
-    for y, held in _rows(batch):
-        total[held + (y << BITS)] += 1
-        total[(2 << BITS) + y] += 1
-
-
 def loss_of(weights: np.ndarray, intercept: float) -> Callable[[np.ndarray, pa.RecordBatch], None]:
     """The sum of errors over the rows that hold each feature, then over all rows, then the sum of losses."""
 
@@ -144,6 +139,33 @@ def class_ratios(p: np.ndarray, q: np.ndarray, n_p: float, n_q: float, sure: flo
     return np.sign(ratio) * np.maximum(np.abs(ratio) - sure * np.sqrt(1 / p + 1 / q), 0)
 
 
+def telling_ratios(rows: DataFrame, n_p: float, n_q: float) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets whose ratio isn't 0, ascending, and these ratios. Counts stay in tasks: a row for each slice of the buckets is shuffled."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, 1 << BITS), dtype="<i4")
+        for batch in batches:
+            for y, held in _rows(batch):
+                total[y, held] += 1
+        parts = total.reshape(2, -1, SLICE).swapaxes(0, 1)
+        full = np.flatnonzero(parts.any(axis=(1, 2)))
+        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([parts[k].tobytes() for k in full], pa.binary())], names=["slice", "part"])
+
+    def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, part in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sums[k] = sums.get(k, 0) + np.frombuffer(part.as_buffer(), dtype="<i4").reshape(2, SLICE)
+        for k, (q, p) in sums.items():
+            ratio = class_ratios(p, q, n_p, n_q)
+            used = np.flatnonzero(ratio)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([(used + k * SLICE).astype("<i4").tobytes()], pa.binary()), pa.array([ratio[used].astype("<f8").tobytes()], pa.binary())], names=["slice", "used", "ratio"])
+
+    parts = rows.coalesce(TASKS).mapInArrow(counted, "slice int, part binary").repartition("slice")
+    found = sorted(parts.mapInArrow(ratios, "slice int, used binary, ratio binary").collect())
+    return tuple(np.concatenate([np.zeros(0, kind), *(np.frombuffer(r[c], dtype=kind) for r in found)]) for c, kind in (("used", "<i4"), ("ratio", "<f8")))
+
+
 def least(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, calls: int, held: int = 6) -> np.ndarray:
     """L-BFGS: where f (value and slope) is least, after at most `calls` calls of it. Steps are halved until they gain enough."""
     value, slope = f(x)
@@ -183,14 +205,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, training: Column, text:
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(lists, pa.list_(pa.int32()))], names=["y", "at"])
 
     rows = written(taught.mapInArrow(held, "y int, at array<int>"), "toxicity-sample")
-    counts = _summed(rows, count_classes, (2 << BITS) + 2, "<i4")
-    n_q, n_p = counts[-2:]
+    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_q, n_p = float(sizes.get(0, 0)), float(sizes.get(1, 0))
     if not n_q or not n_p:
         share = n_p / max(1, n_p + n_q)
         return Model(np.zeros(1 << BITS, dtype=np.float32), 30.0 * (2 * share - 1) if share in (0, 1) else float(np.log(share / (1 - share))))
-    ratio = class_ratios(counts[1 << BITS : 2 << BITS], counts[: 1 << BITS], n_p, n_q)
-    used = np.flatnonzero(ratio).astype(np.int32)
-    ratio = ratio[used]
+    used, ratio = telling_ratios(rows, n_p, n_q)
 
     def telling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.full(1 << BITS, -1, dtype=np.int32)

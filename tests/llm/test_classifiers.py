@@ -64,6 +64,16 @@ def test_toxicity_fit_matches_a_plain_version(spark):
     assert all(math.isclose(got[k], 1 / (1 + math.exp(-z[k] @ w)), abs_tol=2e-3) for k in range(40))
 
 
+def test_counts_of_buckets_stay_off_the_driver(spark, monkeypatch):
+    """Of 2**20 buckets in two classes the driver gets the telling ones only."""
+    sent, frame = [], type(spark.range(1))
+    plain = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda df: [sent.append(sum(len(x) for x in r if isinstance(x, (bytes, bytearray)))) or r for r in plain(df)])
+    docs = spark.createDataFrame([(k, ("vile rotten " if k % 2 else "good kind ") * 3 + f"w{k}") for k in range(40)], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int"), "toxic", F.lit(True), calls=3)
+    assert sent and max(sent) <= 12 * (np.count_nonzero(model.weights) + 2) < 1 << 16
+
+
 def spread(h):
     h = h ^ h >> 29
     h = h * 0xBF58476D1CE4E5B9 % 2**64
