@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from flowloom.sources.staging import staged
 
+ROWS = 1 << 20  # of a task where both sides of a join may be large
+
 
 def layers(edges: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
     """(node, layer): least number of edges from a root, by breadth-first search."""
@@ -74,9 +76,12 @@ def duplicate_ids(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("id").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
 
 
-def unknown_endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    ends = edges.select(F.col("src").alias("id"), F.lit("source").alias("end")).unionByName(edges.select(F.col("dst").alias("id"), F.lit("target").alias("end")))
-    return ends.join(nodes.select("id").distinct(), "id", "left_anti").distinct()
+def unknown_endpoints(nodes: DataFrame, edges: DataFrame, rows: int = ROWS) -> DataFrame:
+    """(id, end: source or target), each once. Both sides are dealt by id over a partition for each `rows` rows at least: packed by their bytes, as ids
+    compress well, very many would meet in one task. Repeated nodes stay, as an anti join reads past them and a task of the first pass need not hold its ids."""
+    ends = edges.select(F.explode(F.array(*[F.struct(F.col(c).alias("id"), F.lit(end).alias("end")) for c, end in (("src", "source"), ("dst", "target"))])).alias("e")).select("e.*")
+    known, n = nodes.select("id"), -(-(nodes.count() + 2 * edges.count()) // rows)
+    return ends.join(known.repartition(n, "id") if n > 1 else known, "id", "left_anti").distinct()  # the join deals the other side alike
 
 
 def trigger_errors(nodes: DataFrame) -> DataFrame:

@@ -276,3 +276,22 @@ def test_staged_tables_can_be_cleared(spark):
     assert kept.count() == 5 and any(folder.glob("kept-*"))
     cleared(spark)
     assert not folder.exists()
+
+
+def test_unknown_endpoints_deal_ids_by_rows(spark):
+    """Over enough tasks for their rows, however small their bytes; nulls, repeats and ids of both ends."""
+    nodes = spark.range(20_000).selectExpr("id % 9000 AS id").unionByName(spark.createDataFrame([(None,)], "id long"))
+    edges = spark.range(20_000).selectExpr("id AS src", "id % 9001 AS dst").unionByName(spark.createDataFrame([(None, 5), (-1, None), (-1, 3)], "src long, dst long"))
+    want = {(None, "source"), (None, "target"), (-1, "source"), (9000, "target")} | {(k, "source") for k in range(9000, 20_000)}
+    for rows in (graphs.ROWS, 4000):
+        found = graphs.unknown_endpoints(nodes, edges, rows)
+        got = [tuple(r) for r in found.select("id", "end").collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert "hashpartitioning(id#" in (plan := found._jdf.queryExecution().toString()) and "REPARTITION_BY_NUM" in plan  # packed by bytes before
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", -1)
+    try:
+        assert graphs.unknown_endpoints(nodes, edges, 4000).rdd.getNumPartitions() >= 15
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
