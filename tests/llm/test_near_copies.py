@@ -80,3 +80,57 @@ def test_pairs_at_the_threshold_are_within_the_budget():
             a, b = x[:size], x[: size + size // 4]
             f = near_copies.set_fingerprints(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
             assert int(np.bitwise_count(f[0] ^ f[1])) <= near_copies.BUDGET
+
+
+def test_clusters_are_those_of_all_pairs_of_a_bucket():
+    """Tasks over several batches, one with a large group in it, none of its rows lost."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    task = np.sort(np.concatenate([rng.integers(0, 60, 900), np.full(1500, 30)]))
+    n = len(task)
+    longs = rng.integers(0, 1 << 63, size=(40, 3), dtype=np.uint64)[np.where((task == 30) & (rng.random(n) < 0.7), 0, rng.integers(0, 40, n))]
+    for _ in range(12):
+        longs ^= np.uint64(1) << rng.integers(0, 64, size=longs.shape, dtype=np.uint64)
+    name = rng.permutation(n).astype(np.int64)
+    table = pa.table({"task": task, "fp": longs[:, 0].view(np.int64), "more1": longs[:, 1].view(np.int64), "more2": longs[:, 2].view(np.int64), "name": name})
+    want = set()
+    for t in np.unique(task):
+        at = np.flatnonzero(task == t)
+        x = longs[at]
+        near = np.bitwise_count(x[:, None] ^ x[None])
+        near = (near[:, :, 0] <= near_copies.BUDGET) & (near[:, :, 1:].sum(axis=2) <= near_copies.MORE)
+        left = set(range(len(at)))
+        while left:
+            group = front = {left.pop()}
+            while front:
+                front = {int(k) for i in front for k in np.flatnonzero(near[i])} & left
+                left -= front
+                group = group | front
+            if len(group) > 1:
+                want.add(frozenset(int(name[at[k]]) for k in group))
+    for rows, many in ((7, 50), (100, 400), (5000, 100_000)):
+        found = pa.Table.from_batches(near_copies._clusters(near_copies.BUDGET, many)(iter(table.to_batches(max_chunksize=rows)))).to_pandas()
+        assert {frozenset(x) for _, x in found.groupby("bucket")["name"]} == want and max(map(len, want)) > near_copies.LARGE
+
+
+def test_pairs_at_the_threshold_share_a_table_by_their_bits_alone():
+    """Of random sets of similarity 0.8 all of 1,200 pairs; and further bits match a plain version."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for n in (1000, 300_000):
+        tables, bits = near_copies.tables_of(n)
+        longs = 2 - (-tables * bits // 64)
+        for size in (8, 40, 600):
+            sets = [np.unique(rng.integers(0, 1 << 63, size=size + size // 4, dtype=np.uint64) * np.uint64(2) + np.uint64(k % 2)) for k in range(200)]
+            h = np.concatenate([x for s in sets for x in (s[:size], s)])
+            offsets = np.cumsum([0, *(len(x) for s in sets for x in (s[:size], s))])
+            more = near_copies.further_bits(h, offsets, longs)
+            assert np.bitwise_count(more[::2, :2] ^ more[1::2, :2]).sum(axis=1, dtype=int).max() <= near_copies.MORE
+            dealt = np.unpackbits(more[:, 2:].astype("<u8").view(np.uint8), axis=1, bitorder="little", count=tables * bits).reshape(len(more), tables, bits)
+            assert (dealt[::2] == dealt[1::2]).all(axis=2).any(axis=1).all()
+            for k in (0, len(offsets) - 2):
+                x = near_copies._mixed(h[offsets[k] : offsets[k + 1]] * near_copies._ODD[longs - 1])
+                assert int(more[k, -1]) == sum(1 << b for b in range(64) if 2 * int((x >> np.uint64(b) & np.uint64(1)).sum()) > len(x))
