@@ -10,9 +10,10 @@ similarity 0.8 agree in a bit with a chance of 0.8485 (smaller for few shingles,
 (2 in ten thousand for 4 of 5). In a bucket simhash.trie_pairs joins the fingerprints with an error budget of BUDGET bits (a pair of similarity 0.8 is over it with a chance
 of some 1 in a million), pairs that differ in over MORE of 128 further bits are left out, and what hangs together is a cluster of the bucket. Only clusters go on.
 
-Check: what a cluster holds is verified by the exact similarity of the sets: first every set against one of its cluster; then clusters that
-are not in one group yet are joined by the same trie, without the pairs of the label that most of them have, and pairs that
-have become one group meanwhile are skipped; no other pair is left out.
+Check: what a cluster holds is verified by the exact similarity of the sets: first every set against one of its cluster, its head; then clusters that
+are not in one group yet are joined by the same trie, without the pairs of the label that most of them have. Of their sets only those go on to the exact check, in parts that
+hang together, that have another label's set within the budget which can be similar enough: by the two sizes, and by the parities of the sets, for two sets differ in at least as many
+shingles as their parities do in bits. Neither leaves out a pair of similarity LEAST. Pairs with the head are known by then, pairs that have become one group meanwhile are skipped; no other pair is left out.
 
 Large groups: in a bucket of over LARGE sets those near one of some of them are one cluster without being held against each other. A bucket or cluster of over `chunk` goes to tasks in
 chunks, a pair of chunks to each.
@@ -23,10 +24,11 @@ kept; an empty table gives an empty result; other columns are not read. Sets so
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,7 @@ from flowloom.llm.words import NOT_SPACE, lowered, word_hashes, word_spans
 
 WIDTH, LEAST = 5, 0.8
 BUDGET, MORE = 26, 43
+PARITY = 4
 CHUNK, BUCKET = 512, 1 << 15
 LARGE = 1024
 _ODD = np.random.default_rng(42).integers(1, 1 << 63, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -86,6 +89,18 @@ def set_fingerprints(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def set_parities(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """PARITY longs of each set: a bit is 1 if an odd number of its hashes fall on it. Two of them differ in no more bits than the sets in hashes."""
+    full = np.flatnonzero(np.diff(offsets))
+    out = np.zeros((len(offsets) - 1, PARITY), dtype=np.uint64)
+    if len(full):
+        x = _mixed(h * _ODD[-1])
+        bit, part = np.uint64(1) << (x & np.uint64(63)), (x >> np.uint64(6)) % np.uint64(PARITY)
+        for k in range(PARITY):
+            out[full, k] = np.bitwise_xor.reduceat(np.where(part == k, bit, np.uint64(0)), offsets[full])
+    return out
+
+
 def tables_of(n: int) -> tuple[int, int]:
     """Tables, and bits of each, for n texts: enough to share one with a chance of 1 - exp(-14) at similarity 0.8."""
     bits = min(16, max(10, int(np.ceil(np.log2(max(n, 1) / 64)))))
@@ -136,9 +151,10 @@ def _sets(docs: DataFrame, text: str, width: int) -> DataFrame:
         for batch in slices(batches, text):
             h, offsets = shingle_sets(text_column(batch, text), width)
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(h.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(set_names(h, offsets)), lists], names=["name", "shingles"])
+            parities = pa.ListArray.from_arrays(pa.array(np.arange(len(offsets), dtype=np.int32) * PARITY), pa.array(set_parities(h, offsets).view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(set_names(h, offsets)), parities, lists], names=["name", "parity", "shingles"])
 
-    return docs.select(text).mapInArrow(run, "name long, shingles array<long>")
+    return docs.select(text).mapInArrow(run, "name long, parity array<long>, shingles array<long>")
 
 
 def similar(sets: list[np.ndarray], one: int, others: np.ndarray, least: float) -> np.ndarray:
@@ -151,17 +167,22 @@ def similar(sets: list[np.ndarray], one: int, others: np.ndarray, least: float)
     return both >= least * (len(mine) + sizes - both) - 1e-9
 
 
-def _clusters(budget: int, many: int = 100_000):
-    """Rows (task, fp, more1, more2, name) sorted by task -> (bucket, name, head) of those with another one near, a bucket for each cluster of a task;
+def _alike(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets of these sizes can have similarity `least` at least."""
+    return np.minimum(a, b) >= least * np.maximum(a, b) - 1e-9
+
+
+def _clusters(budget: int, many: int = 100_000, least: float = LEAST):
+    """Rows (task, fp, more1, more2, name, and size where it is known) sorted by task -> (bucket, name, head) of those with another one near, a bucket for each cluster of a task;
     its head is the name whose hash is smallest, so a large group has few heads over all buckets."""
 
-    def near(fp: np.ndarray, more: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (np.bitwise_count(fp[a] ^ fp[b]) <= budget) & (np.bitwise_count(more[a] ^ more[b]).sum(axis=1, dtype=np.int64) <= MORE)
+    def near(fp: np.ndarray, more: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (np.bitwise_count(fp[a] ^ fp[b]) <= budget) & (np.bitwise_count(more[a] ^ more[b]).sum(axis=1, dtype=np.int64) <= MORE) & _alike(size[a], size[b], least)
 
-    def pairs(fp: np.ndarray, more: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(fp: np.ndarray, more: np.ndarray, size: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         large = ends - starts > LARGE
         for lo, hi in zip(starts[large].tolist(), ends[large].tolist()):
-            probes = [(lead, lo + np.flatnonzero(near(fp, more, np.array([lead]), np.arange(lo, hi)))) for lead in np.linspace(lo, hi - 1, 8).astype(int).tolist()]
+            probes = [(lead, lo + np.flatnonzero(near(fp, more, size, np.array([lead]), np.arange(lo, hi)))) for lead in np.linspace(lo, hi - 1, 8).astype(int).tolist()]
             lead, group = max(probes, key=lambda x: len(x[1]))
             yield np.full(len(group), lead), group
             rest = np.setdiff1d(np.arange(lo, hi), group)
@@ -180,10 +201,11 @@ def _clusters(budget: int, many: int = 100_000):
         order = np.lexsort((fp, task))
         task, fp, name = task[order], fp[order], name[order]
         more = np.column_stack([more1[order], more2[order]]).view(np.uint64)
+        size = rows.column(5).to_numpy()[order] if rows.num_columns > 5 else np.ones(len(task), dtype=np.int64)
         starts = np.flatnonzero(np.r_[True, task[1:] != task[:-1]])
         labels = np.arange(len(task))
-        for i, j in pairs(fp, more, starts, np.r_[starts[1:], len(task)]):
-            ok = near(fp, more, i, j)
+        for i, j in pairs(fp, more, size, starts, np.r_[starts[1:], len(task)]):
+            ok = near(fp, more, size, i, j)
             merge_labels(labels, i[ok], j[ok])
         alone = np.bincount(labels, minlength=len(labels))[labels] == 1
         found = np.flatnonzero(~alone)
@@ -193,6 +215,61 @@ def _clusters(budget: int, many: int = 100_000):
         bucket = _mixed((task[found].view(np.uint64) ^ _mixed(name[labels[found]].view(np.uint64))) + np.uint64(0x632BE59BD9B4E019))
         return pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(name[found]), pa.array(head)], names=["bucket", "name", "head"])
 
+    return _whole_runs(clusters, many)
+
+
+def _contested(least: float, budget: int, chunk: int, many: int = 100_000):
+    """Rows (bucket, name, head, label, size, fp, parity) sorted by bucket -> (bucket, name, label, size, fp, is_major, majors, minors, small) of those that a set of another label
+    may be similar to, but for pairs with the head; a bucket for each part that such pairs connect, with its chunks of the most frequent label and of the others."""
+
+    def of_label(group: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether a row has its group's most frequent label, how many rows do, and how many the group has."""
+        order = np.lexsort((label, group))
+        new = np.r_[True, (group[order[1:]] != group[order[:-1]]) | (label[order[1:]] != label[order[:-1]])]
+        first = np.flatnonzero(new)
+        run = np.empty(len(group), dtype=np.int64)
+        run[order] = np.cumsum(new) - 1
+        n, of = np.diff(np.r_[first, len(group)]), group[order[first]]
+        by_size = np.lexsort((n, of))
+        last = by_size[np.r_[of[by_size[1:]] != of[by_size[:-1]], True]]  # the longest run of each group, by group
+        at = np.searchsorted(of[last], group)
+        return run == last[at], n[last][at], np.bincount(np.searchsorted(of[last], group))[at]
+
+    def contested(rows: pa.Table) -> pa.RecordBatch:
+        bucket, name, head, label, size, fp = (rows.column(k).to_numpy() for k in range(6))
+        parity = pc.list_flatten(rows.column(6)).to_numpy().reshape(-1, PARITY).view(np.uint64)
+        is_major, most, n = of_label(bucket, label)
+        order = np.flatnonzero(most < n)
+        order = order[np.lexsort((fp.view(np.uint64)[order], is_major[order], bucket[order]))]
+        bucket, name, head, label, size, fp, parity, is_major = (x[order] for x in (bucket, name, head, label, size, fp.view(np.uint64), parity, is_major))
+        longs = np.ascontiguousarray(parity.T)
+        total = len(order)
+        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if total else np.zeros(0, np.int64)
+        ends = np.r_[starts[1:], total].astype(np.int64)[: len(starts)]
+        cuts = starts + np.add.reduceat((~is_major).astype(np.int64), starts) if total else starts
+        part = np.arange(total)
+        for i, j in trie_pairs(fp, *(np.concatenate(x) for x in ((starts, starts), (cuts, cuts), (starts, cuts), (cuts, ends))), budget) if total else ():
+            ok = (label[i] != label[j]) & (name[i] != head[i]) & (name[j] != head[j]) & _alike(size[i], size[j], least)
+            i, j = i[ok], j[ok]
+            apart = np.zeros(len(i), dtype=np.int64)
+            for one in longs:
+                apart += np.bitwise_count(one[i] ^ one[j])
+            ok = apart <= (1 - least) / (1 + least) * (size[i] + size[j]) + 1e-6
+            merge_labels(part, i[ok], j[ok])
+        found = np.flatnonzero(np.bincount(part, minlength=total)[part] > 1)
+        part = part[found]
+        is_major, most, n = of_label(part, label[found]) if len(found) else (found > 0, found, found)
+        within = _mixed((bucket[found].view(np.uint64) ^ _mixed(name[part].view(np.uint64))) + np.uint64(0x632BE59BD9B4E019)).view(np.int64)
+        majors, minors = -(-most // chunk), np.maximum(-(-(n - most) // chunk), 1)
+        columns = {"bucket": within, "name": name[found], "label": label[found], "size": size[found], "fp": fp[found].view(np.int64), "is_major": is_major, "majors": majors.astype(np.int32), "minors": minors.astype(np.int32), "small": n <= chunk}
+        return pa.RecordBatch.from_pydict({k: pa.array(x) for k, x in columns.items()})
+
+    return _whole_runs(contested, many)
+
+
+def _whole_runs(made: Callable[[pa.Table], pa.RecordBatch], many: int):
+    """Batches sorted by their first column -> what `made` makes of pieces of about `many` rows; no value of that column is in two of them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -201,12 +278,12 @@ def _clusters(budget: int, many: int = 100_000):
                 continue
             cut = int(np.flatnonzero(np.r_[True, tasks[1:] != tasks[:-1]])[-1])  # the last task may go on
             if sum(b.num_rows for b in held) + cut > many and (cut or held[-1].column(0)[-1].as_py() != tasks[0]):
-                yield clusters(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                yield made(pa.Table.from_batches([*held, batch.slice(0, cut)]))
                 held = [batch.slice(cut)]
             else:
                 held.append(batch)
         if held:
-            yield clusters(pa.Table.from_batches(held))
+            yield made(pa.Table.from_batches(held))
 
     return run
 
@@ -216,14 +293,14 @@ def candidates(distinct: DataFrame, least: float = LEAST, chunk: int = BUCKET, b
     some = distinct.where(F.col("size") >= least * (F.col("size") + 1) - 1e-9)
     keys = some.select(F.posexplode("keys").alias("table", "key"))
     hot = written(keys.groupBy("table", "key").count().where(F.col("count") > chunk), "near-hot").select("table", "key", F.ceil(F.col("count") / chunk).cast("int").alias("chunks"))
-    rows = some.select("name", "fp", "more1", "more2", F.posexplode("keys").alias("table", "key"))
+    rows = some.select("name", "size", "fp", "more1", "more2", F.posexplode("keys").alias("table", "key"))
     task = F.xxhash64("table", "key")
     if not hot.isEmpty():
         rows = rows.join(bounded_broadcast(hot), ["table", "key"], "left").withColumn("own", F.pmod(F.xxhash64("name"), F.coalesce("chunks", F.lit(1))).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
         task = F.xxhash64("table", "key", F.least("own", "other"), F.greatest("own", "other"))
-    rows = rows.select(task.alias("task"), "fp", "more1", "more2", "name")
-    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(_clusters(budget), "bucket long, name long, head long")
+    rows = rows.select(task.alias("task"), "fp", "more1", "more2", "name", "size")
+    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(_clusters(budget, least=least), "bucket long, name long, head long")
 
 
 def _bucket_links(least: float, budget: int):
@@ -238,7 +315,7 @@ def _bucket_links(least: float, budget: int):
             return names[:0], names[:0]
         ranges = (0, n, 0, n) if cut == n else (0, cut, cut, n)
         for i, j in trie_pairs(fp.view(np.uint64), *(np.array([x]) for x in ranges), budget):
-            keep = np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]) - 1e-9
+            keep = _alike(size[i], size[j], least)
             i, j = i[keep], j[keep]
             order = np.argsort(i, kind="stable")
             i, j = i[order], j[order]
@@ -279,31 +356,31 @@ def _bucket_links(least: float, budget: int):
 
 def jaccard_links(docs: DataFrame, distinct: DataFrame, text: str = "text", width: int = WIDTH, least: float = LEAST, chunk: int = CHUNK, budget: int = BUDGET) -> DataFrame | None:
     """distinct (name, size, fp, more1, more2, keys) -> (node, component) over all links, None where no bucket has a cluster."""
-    found = written(candidates(distinct, least, max(chunk, min(BUCKET, 64 * chunk)), budget), "near-clusters")
-    rows = written(found.drop("head").join(distinct.select("name", "size", "fp"), "name"), "near-buckets")
+    rows = written(candidates(distinct, least, max(chunk, min(BUCKET, 64 * chunk)), budget), "near-clusters")
     known = written(rows.select("name").distinct(), "near-known")
     if known.isEmpty():
         return None
     sets = written(_sets(docs, text, width).join(bounded_broadcast(known), "name", "left_semi").dropDuplicates(["name"]), "near-sets")
 
-    near = F.least("size", "size2") >= least * F.greatest("size", "size2") - 1e-9  # of sizes that differ more, none is similar enough
-    pairs = found.where(F.col("name") != F.col("head")).select(F.col("name").alias("a"), F.col("head").alias("b")).distinct()
-    sizes = [distinct.select(F.col("name").alias(c), F.col("size").alias(size)) for c, size in (("a", "size"), ("b", "size2"))]
-    pairs = written(pairs.join(sizes[0], "a").join(sizes[1], "b").where(near).select("a", "b"), "near-pairs")
+    facts = written(sets.select("name", "parity").join(distinct.select("name", "size", "fp"), "name"), "near-facts")
+    pairs = rows.where(F.col("name") != F.col("head")).select(F.col("name").alias("a"), F.col("head").alias("b")).distinct()
+    a, b = (facts.select(F.col("name").alias(x), F.col("size").alias(f"_{x}"), F.col("parity").alias(f"_p{x}")) for x in "ab")
+    apart = sum(F.bit_count(F.col("_pa")[k].bitwiseXOR(F.col("_pb")[k])) for k in range(PARITY))
+    near = (F.least("_a", "_b") >= least * F.greatest("_a", "_b") - 1e-9) & (apart <= (1 - least) / (1 + least) * (F.col("_a") + F.col("_b")) + 1e-6)  # of others none is similar enough
+    pairs = written(pairs.join(a, "a").join(b, "b").where(near).select("a", "b"), "near-pairs")
     a, b = (sets.select(F.col("name").alias(x), F.col("shingles").alias(f"_{x}")) for x in "ab")
     both = pairs.join(b, "b").join(a, "a").withColumn("_n", F.size(F.array_intersect("_a", "_b")))
     links = written(both.where(F.col("_n") >= least * (F.size("_a") + F.size("_b") - F.col("_n")) - 1e-9).select("a", "b"), "near-stars")
     found = connected_components(links, "near-stars")
 
-    labelled = rows.join(found.withColumnRenamed("node", "name"), "name", "left").withColumn("label", F.coalesce("component", "name")).drop("component")
-    labelled = written(labelled, "near-labelled")
-    counts = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = counts.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels")).where("labels > 1 and n > 2")  # of two sets the pair is verified
-    minor = F.greatest(F.ceil((F.col("n") - F.col("most.n")) / chunk), F.lit(1))
-    mixed = written(mixed.select("bucket", F.col("most.label").alias("major"), minor.cast("int").alias("minors"), F.ceil(F.col("most.n") / chunk).cast("int").alias("majors"), (F.col("n") <= chunk).alias("small")), "near-mixed")
+    # a row for each set first, as it comes with a row for each of its clusters
+    own = facts.join(found.withColumnRenamed("node", "name"), "name", "left")
+    own = written(own.select("name", F.coalesce("component", "name").alias("label"), "size", "fp", "parity"), "near-own")
+    labelled = rows.join(own, "name").select("bucket", "name", "head", "label", "size", "fp", "parity")
+    contested = labelled.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_contested(least, budget, chunk), "bucket long, name long, label long, size long, fp long, is_major boolean, majors int, minors int, small boolean")
+    members = written(contested, "near-contested")
     # a small bucket is one task; else each pair of chunks of minor labels is one, and each chunk of the major label with one of minor labels
-    members = labelled.join(mixed, "bucket")
-    is_major = F.col("label") == F.col("major")
+    is_major = F.col("is_major")
     own = F.pmod(F.xxhash64("name"), F.when(is_major, F.col("majors")).otherwise(F.col("minors"))).cast("int")
     others = F.sequence(F.lit(0), F.col("minors") - 1)
     with_minors = F.transform(others, lambda k: F.struct(F.when(is_major, -1 - F.col("own")).otherwise(F.least(k, F.col("own"))).alias("low"), F.when(is_major, k).otherwise(F.greatest(k, F.col("own"))).alias("high"), (~is_major & (F.col("own") > k)).cast("int").alias("side")))

@@ -134,3 +134,75 @@ def test_pairs_at_the_threshold_share_a_table_by_their_bits_alone():
             for k in (0, len(offsets) - 2):
                 x = near_copies._mixed(h[offsets[k] : offsets[k + 1]] * near_copies._ODD[longs - 1])
                 assert int(more[k, -1]) == sum(1 << b for b in range(64) if 2 * int((x >> np.uint64(b) & np.uint64(1)).sum()) > len(x))
+
+
+def test_parities_differ_in_no_more_bits_than_sets_in_shingles():
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    for size in (1, 4, 40, 400):
+        for other in (0, 1, size // 5, 3 * size):
+            x = np.unique(rng.integers(0, 1 << 63, size=size + other, dtype=np.uint64))
+            rng.shuffle(x)
+            p = near_copies.set_parities(np.concatenate([x[:size], x]), np.array([0, size, size, size + len(x)]))
+            assert p.shape == (3, near_copies.PARITY) and not p[1].any()
+            apart = int(np.bitwise_count(p[0] ^ p[2]).sum(dtype=int))
+            assert apart <= len(x) - size and (apart - len(x) + size) % 2 == 0 and (apart > 0 or other != 1)
+
+
+def test_contested_are_all_that_may_be_similar_to_another_label():
+    """Against all pairs of each bucket, over several batches: none left out, none beside."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    n, least = 1500, near_copies.LEAST
+    bucket = np.sort(np.where(rng.random(n) < 0.3, 7, rng.integers(0, 90, n)))
+    kind = rng.integers(0, 12, n)
+    label = np.where(rng.random(n) < 0.6, bucket * 100, bucket * 100 + rng.integers(0, 9, n))
+    fp = rng.integers(0, 1 << 63, size=12, dtype=np.uint64)[kind]
+    parity = rng.integers(0, 1 << 63, size=(12, near_copies.PARITY), dtype=np.uint64)[kind]
+    for _ in range(9):
+        fp ^= np.uint64(1) << rng.integers(0, 64, size=n, dtype=np.uint64)
+        parity ^= np.uint64(1) << rng.integers(0, 64, size=parity.shape, dtype=np.uint64)
+    size = rng.integers(120, 260, n)
+    name = rng.permutation(n).astype(np.int64)
+    head = np.array([name[bucket == b].min() for b in bucket])
+    rows = pa.table({"bucket": bucket, "name": name, "head": head, "label": label, "size": size, "fp": fp.view(np.int64), "parity": list(parity.view(np.int64))})
+    want = {}
+    for b in np.unique(bucket):
+        at = np.flatnonzero(bucket == b)
+        x, y = np.meshgrid(at, at, indexing="ij")
+        may = (label[x] != label[y]) & (np.bitwise_count(fp[x] ^ fp[y]) <= near_copies.BUDGET) & (name[x] != head[x]) & (name[y] != head[y])
+        may &= (np.minimum(size[x], size[y]) >= least * np.maximum(size[x], size[y])) & (np.bitwise_count(parity[x] ^ parity[y]).sum(axis=2, dtype=int) <= (size[x] + size[y]) / 9)
+        for k, i in enumerate(at):
+            if may[k].any():
+                want[int(name[i])] = {int(name[j]) for j in at[may[k]]}
+    for batch, many, chunk in ((9, 60, 4), (5000, 100_000, 512)):
+        found = pa.Table.from_batches(near_copies._contested(least, near_copies.BUDGET, chunk, many)(iter(rows.to_batches(max_chunksize=batch)))).to_pandas()
+        part = dict(zip(found["name"], found["bucket"]))
+        assert set(part) == set(want) and 0 < len(part) < n and all(part[i] == part[j] for i in want for j in want[i])
+        for _, x in found.groupby("bucket"):
+            counts = x["label"].value_counts()
+            most = x["label"][x["is_major"]]
+            assert len(counts) > 1 and most.nunique() == 1 and len(most) == counts.iloc[0]
+            assert (x["majors"] == -(-len(most) // chunk)).all() and (x["minors"] == -(-(len(x) - len(most)) // chunk)).all() and (x["small"] == (len(x) <= chunk)).all()
+
+
+def test_texts_with_a_common_part_are_not_dealt_to_the_exact_check_by_table(spark, monkeypatch):
+    """A part in common makes texts candidates in many tables, though none is similar enough; and a large group of copies is verified by its heads."""
+    common = " ".join(f"c{k}" for k in range(70))
+    rows = [(k, common + " " + " ".join(f"x{k}_{j}" for j in range(30))) for k in range(200)]
+    rows += [(1000 + k, " ".join("edit" if j == k else f"w{j}" for j in range(100))) for k in range(100)]
+    made = {}
+
+    def counted(df, name):
+        out = written(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    written = near_copies.written
+    monkeypatch.setattr(near_copies, "written", counted)
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_groups(dict(rows))
+    assert made["near-clusters"] > 10 * len(rows) and made["near-tasks"] < len(rows)
