@@ -160,3 +160,95 @@ def test_multi_sequence_visits_nearest_cells():
         d = multi_index.squared(x[r : r + 1, :3], grid.first)[0][:, None] + multi_index.squared(x[r : r + 1, 3:], grid.second)[0][None]
         want = np.sort(d.reshape(-1))[:12]
         assert np.allclose(d.reshape(-1)[got[r]], want)
+
+
+def plain(spark, x, folder):
+    """Rows of x as a table of floats, and x as those floats."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    x = x.astype(np.float32)
+    (folder / "embeddings.parquet").mkdir()
+    for k, part in enumerate(np.array_split(np.arange(len(x)), 4)):
+        rows = pa.FixedSizeListArray.from_arrays(pa.array(x[part].reshape(-1)), x.shape[1]).cast(pa.list_(pa.float32()))
+        pq.write_table(pa.table({"vec_id": part, "embedding": rows}), folder / "embeddings.parquet" / f"{k}.parquet", use_dictionary=False)
+    return spark.read.parquet(str(folder / "embeddings.parquet")), x.astype(np.float64)
+
+
+def test_disk_grows_with_the_vectors_only(spark, tmp_path):
+    """What is staged and shuffled at once stays under four times the components' bytes (with 41 float64 copies of every vector it was 40 times)."""
+    import os
+    import threading
+
+    rng = np.random.default_rng(8)
+    df, x = plain(spark, rng.normal(size=(40_000, 64)), tmp_path)
+    tops = [f.getPath() for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()] + [spark.conf.get("spark.checkpoint.dir").removeprefix("file:")]
+
+    def used():
+        total = 0
+        for top in tops:
+            for d, _, names in os.walk(top):
+                for name in names:
+                    try:
+                        total += os.lstat(f"{d}/{name}").st_size * (".data" in name or ".parquet" in name)
+                    except OSError:
+                        pass
+        return total
+
+    before, most, over = used(), [0], threading.Event()
+
+    def watch():
+        while not over.wait(0.02):
+            most[0] = max(most[0], used() - before)
+
+    thread = threading.Thread(target=watch)
+    thread.start()
+    try:
+        assert multi_index.near_duplicates(df).count() == 40_000
+    finally:
+        over.set()
+        thread.join()
+    assert 0 < most[0] < 4 * x.size * 4
+
+
+def test_links_at_the_border_are_found(spark, tmp_path):
+    """Vectors turned until they only just link, in the thinnest data: at least 0.995 of them, and no other links."""
+    rng = np.random.default_rng(9)
+    unit = rng.normal(size=(16_000, 64))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    df, x = plain(spark, np.concatenate([unit, multi_index.moved_rows(unit[:4000], 0.9001, seed=10)]), tmp_path)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in multi_index.near_duplicates(df).collect()}
+    want = brute_links(np.arange(len(x)), x)
+    assert len(want) == len(got) and sum(v[0] for v in want.values()) >= 8000
+    assert all(got[i][0] <= want[i][0] and got[i][1] in (i, want[i][1]) for i in want)
+    assert sum(v[0] for v in got.values()) >= 0.995 * sum(v[0] for v in want.values())
+
+
+@pytest.mark.parametrize("crowd", [1 << 17, 150])
+def test_large_components_count_each_pair_once(spark, tmp_path, crowd):
+    """A long chain, where most link outside of a core, a dense group, and vectors beside both; cells in chunks."""
+    rng = np.random.default_rng(11)
+    turn = np.linspace(0, 5, 1200)[:, None]
+    plane = np.linalg.qr(rng.normal(size=(24, 2)))[0].T
+    chain = np.cos(turn) * plane[0] + np.sin(turn) * plane[1] + 0.03 * rng.normal(size=(1200, 24))
+    dense = 3 * plane[0] + 2 * rng.normal(size=24) + 0.25 * rng.normal(size=(800, 24))
+    df, x = plain(spark, np.concatenate([chain, dense, rng.normal(size=(500, 24))]), tmp_path)
+    want = brute_links(np.arange(len(x)), x)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in multi_index.near_duplicates(df, chunk=100, per_cell=50, crowd=crowd).collect()}
+    assert len({v[1] for v in want.values()}) > 100 and {i: v[1] for i, v in got.items()} == {i: v[1] for i, v in want.items()}
+    assert all(got[i][0] <= want[i][0] for i in want)
+    assert sum(v[0] for v in got.values()) >= 0.999 * sum(v[0] for v in want.values()) > 300_000
+
+
+def test_forest_joins_what_may_link():
+    """Sets of a cell by codes, with one side and with two, hold every pair that links."""
+    rng = np.random.default_rng(12)
+    x = multi_index.unit_rows(np.concatenate([rng.normal(size=64) + 0.1 * rng.normal(size=(3000, 64)), rng.normal(size=(600, 64))])[rng.permutation(3600)])
+    code, fit = multi_index.coded(x)
+    left, right = multi_index.bounds(code, fit)
+    assert (left @ right.T >= x @ x.T - 1e-5).all()
+    near = x @ x.T >= 0.9
+    for side in (np.zeros(3600, dtype=np.int8), rng.integers(1, 3, size=3600)):
+        labels = multi_index.forest(code, fit, side, 0.9)
+        i, j = np.nonzero(near & ((side[:, None] != side) | (side == 0)))
+        assert len(i) > 1_000_000 and (labels[i] == labels[j]).all() and len(np.unique(labels)) > 500
