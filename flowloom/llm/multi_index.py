@@ -16,7 +16,7 @@ grid is dealt at a time, and its shuffle files go before the next one's are writ
 Codebooks are fitted (Lloyd's k-means) on two thirds of at most SAMPLE vectors with the smallest hashes; every vector is indexed. K grows with the
 square root of the number of vectors, so that a cell keeps its size. A cell that by the sample has over `crowd` visitors is cut into chunks
 by a hash, each pair of chunks a task of its own; in a cell most near copies meet one head only, not each other. In components of over `chunk`
-vectors those within half the largest angle of one member all link with each other, so they are counted; the pairs of the others are those that meet
+vectors those within half the largest angle of one member (of a few the one in the densest place) all link with each other, so they are counted; the pairs of the others are those that meet
 in a cell, where the vectors go then, and each is counted in the first cell that both visit. Equal vectors are combined first, with their number.
 A task returns sums of links for vectors and a forest of links, no pairs.
 
@@ -330,6 +330,16 @@ def linked(p: np.ndarray, q: np.ndarray, rep_p: np.ndarray, rep_q: np.ndarray, l
     return near & (rep_q[:, None] != rep_p)
 
 
+def joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray, near: np.ndarray) -> None:
+    """Joins the sets of a[i] and b[j] where near[i, j]; overwrites near. The first of each row joins most sets, few pairs are left then."""
+    while True:
+        near &= labels[a, None] != labels[b]
+        i = np.flatnonzero(near.any(axis=1))
+        if not len(i):
+            return
+        merge_labels(labels, a[i], b[near[i].argmax(axis=1)])
+
+
 def told(rep: np.ndarray, counts: np.ndarray, labels: np.ndarray, names: np.ndarray) -> pd.DataFrame:
     """(a, b, n): links counted (n > 0), and a forest of labels (n = 0)."""
     some, up = np.flatnonzero(counts), np.flatnonzero(labels != np.arange(len(labels)))
@@ -355,12 +365,7 @@ def _compared(least: float, kind: str, piece: int = 1 << 21):
             part = slice(a, a + step)
             near = linked(unit, unit[part], rep, rep[part], least)
             counts[part] = near @ copies
-            while True:  # the first link of each row joins most sets; few pairs are left then
-                near &= labels[node[part], None] != labels[node]
-                i = np.flatnonzero(near.any(axis=1))
-                if not len(i):
-                    break
-                merge_labels(labels, node[a + i], node[near[i].argmax(axis=1)])
+            joined(labels, node[part], node, near)
         return told(rep, counts, labels, names)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -419,14 +424,24 @@ def _sent(placings: dict[int, tuple[int, Placing]], k: int, passes: int, turn: i
 def _counted(k: int, visits: dict[int, int], least: float, kind: str, piece: int = 1 << 20):
     """The rows of a task -> LINKS of the pairs in its cells, but for pairs inside of a core and such as meet in an earlier grid or cell."""
 
-    def new(a: np.ndarray, b: np.ndarray, cell: int, v: int) -> np.ndarray:
-        """Whether `cell` of grid k is the first that a pair's rows of cells share."""
-        first = np.ones(len(a), dtype=bool)
-        for g in range(k + 1):
+    def earlier(a: np.ndarray, b: np.ndarray, cell: int, v: int) -> np.ndarray:
+        """Matrix: whether rows of cells share one of grid 0, or of grid k one before `cell`."""
+        met = np.zeros((len(a), len(b)), dtype=bool)
+        for i in range(v):
+            for j in range(v):
+                if k:
+                    met |= a[:, i, None] == b[:, j]
+                met |= np.where(a[:, k * v + i] < cell, a[:, k * v + i], -1)[:, None] == b[:, k * v + j]
+        return met
+
+    def between(a: np.ndarray, b: np.ndarray, v: int) -> np.ndarray:
+        """For pairs of rows: whether they share a cell of the grids from 1 to k - 1."""
+        met = np.zeros(len(a), dtype=bool)
+        for g in range(1, k):
             for i in range(g * v, (g + 1) * v):
                 for j in range(g * v, (g + 1) * v):
-                    first &= (a[:, i] != b[:, j]) | ((a[:, i] >= cell) if g == k else False)
-        return first
+                    met |= a[:, i] == b[:, j]
+        return met
 
     def compare(rows: pd.DataFrame, cell: int) -> pd.DataFrame:
         rep, copies, core, side = (rows[c].to_numpy() for c in ("rep", "copies", "core", "side"))
@@ -439,18 +454,22 @@ def _counted(k: int, visits: dict[int, int], least: float, kind: str, piece: int
             asked, held = others[side[others] == mine], np.flatnonzero(side == against)
             if mine == 2:
                 held = held[core[held]]  # two outside of the core have met the other way round
-            for a in range(0, len(asked), max(1, piece // max(1, len(held)))):
-                part = asked[a : a + max(1, piece // max(1, len(held)))]
-                near = linked(unit[held], unit[part], rep[held], rep[part], least)
-                i, j = np.nonzero(near)
-                i, j = part[i], held[j]
-                keep = np.ones(len(i), dtype=bool) if apart else core[j] | (i < j)
-                i, j = i[keep], j[keep]
-                keep = new(cells[i], cells[j], cell, v)
-                i, j = i[keep], j[keep]
-                np.add.at(counts, i, copies[j])
-                np.add.at(counts, j, copies[i])
-                merge_labels(labels, node[i], node[j])
+            for a in range(0, len(asked), step := max(1, piece // max(1, len(held)))):
+                part = asked[a : a + step]
+                new = ~earlier(cells[part], cells[held], cell, v)
+                if not apart:
+                    new &= core[held] | (part[:, None] < held)
+                some = np.flatnonzero(new.any(axis=0))
+                if not len(some):
+                    continue
+                other = held[some]
+                near = linked(unit[other], unit[part], rep[other], rep[part], least) & new[:, some]
+                if k > 1:
+                    i, j = np.nonzero(near)
+                    near[i, j] = ~between(cells[part[i]], cells[other[j]], v)
+                counts[part] += near @ copies[other]
+                counts[other] += copies[part] @ near
+                joined(labels, node[part], node[other], near)
         return told(rep, counts, labels, names)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -517,20 +536,20 @@ def _known(vectors: DataFrame, least: float, recall: float, per_cell: int, chunk
 def _links(distinct: DataFrame, groups: DataFrame, grids: dict[int, list[Placing]], least: float, chunk: int, kind: str) -> DataFrame:
     """(a, b, n): the number of links of a (n > 0), or an edge of a forest of all links (n = 0), of the pairs inside of a group (node, component)."""
     sizes = groups.groupBy("component").count()
-    large = [r["component"] for r in sizes.where(F.col("count") > chunk).collect()]  # at most one for each `chunk` vectors
+    large = [(r["component"], r["count"]) for r in sizes.where(F.col("count") > chunk).collect()]  # at most one for each `chunk` vectors
     near = written(distinct.join(bounded_broadcast(groups), distinct.rep == groups.node).select("rep", "vec", "dim", "copies", "component"), "multi-near-vectors")
     if not large:
         return written(_of_whole(near, groups, least, chunk, kind), "multi-links")
-    large = F.broadcast(distinct.sparkSession.createDataFrame([(c,) for c in large], "large long"))
-    first = distinct.join(large, distinct.rep == large.large).groupBy("rep", "dim").agg(F.min("vec").alias("vec"))
-    heads = {(r["rep"], r["dim"]): unit_rows(np.frombuffer(r["vec"], dtype=kind).astype(np.float64)[None])[0] for r in first.collect()}
+    large = F.broadcast(distinct.sparkSession.createDataFrame(large, "large long, size long"))
+    some = near.join(large, near.component == large.large).where(F.pmod(F.xxhash64(F.lit(23), "vec"), F.col("size")) < 16).select("component", "dim", "vec")
+    heads = _heads(some.toPandas(), least, kind)  # some 16 for each `chunk` vectors
     found = [written(_of_whole(near.join(large, near.component == large.large, "left_anti"), groups, least, chunk, kind), "multi-links")]
     members = written(near.join(large, near.component == large.large, "left_semi").mapInArrow(_placed(heads, grids, least, kind), LARGE), "multi-large")
     core = members.where("core").groupBy("component", "dim", "rep").agg(F.sum("copies").alias("own"), F.count(F.lit(1)).alias("vectors"))
-    total = core.groupBy("component", "dim").agg(F.sum("own").alias("total"))
-    core = written(core.join(F.broadcast(total), ["component", "dim"]).select("rep", "component", (F.col("vectors") * (F.col("total") - F.col("own"))).alias("n")), "multi-core")
+    total = core.groupBy("component", "dim").agg(F.sum("own").alias("total"), F.min("rep").alias("first"))
+    core = written(core.join(F.broadcast(total), ["component", "dim"]).select("rep", "first", (F.col("vectors") * (F.col("total") - F.col("own"))).alias("n")), "multi-core")
     found.append(core.where(F.col("n") > 0).select(F.col("rep").alias("a"), F.lit(0).cast("long").alias("b"), "n"))
-    found.append(core.where(F.col("rep") != F.col("component")).select(F.col("rep").alias("a"), F.col("component").alias("b"), F.lit(0).cast("long").alias("n")))
+    found.append(core.where(F.col("rep") != F.col("first")).select(F.col("rep").alias("a"), F.col("first").alias("b"), F.lit(0).cast("long").alias("n")))
     # components that are all core are settled; of the others so many cells at a time that a pass deals out each vector of the table about once
     open_ones = F.broadcast(members.where("not core").select(F.col("component").alias("open")).distinct())
     members = members.join(open_ones, members.component == open_ones.open, "left_semi")
@@ -547,6 +566,15 @@ def _links(distinct: DataFrame, groups: DataFrame, grids: dict[int, list[Placing
     return links
 
 
+def _heads(some: pd.DataFrame, least: float, kind: str) -> dict[tuple[int, int], np.ndarray]:
+    """By component and dimension the one of some vectors that has most of the others within half the largest angle."""
+    found = {}
+    for key, rows in some.groupby(["component", "dim"]):
+        unit = _units(rows, kind)
+        found[key] = unit[int((unit @ unit.T >= np.sqrt((1 + least) / 2)).sum(axis=1).argmax())]
+    return found
+
+
 def _of_whole(near: DataFrame, groups: DataFrame, least: float, chunk: int, kind: str) -> DataFrame:
     """LINKS of components that one task can hold, many to a task."""
     tasks = 1 + 4 * groups.count() // chunk
